@@ -44,8 +44,8 @@ def word_pattern() -> re.Pattern[str]:
     any_letter, any_number = (f"(?:[{x}]|[{of(kind, 0x10000, sys.maxunicode + 1)}])" for x, kind in ((letter, "L"), (number, "N")))
     alone = "(?![\\U00010000-\\U0010ffff])"
     return re.compile(
-        f" [{letter}]+{alone}|[{letter}]+{alone}|\\n(?!\\s)|[,.](?=[\\n ])| ?{any_letter}+"
-        f"| ?[{number}]+{alone}| ?{any_number}+|'(?:[stmd]|re|ve|ll)| ?(?:[^\\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+        f" [{letter}]++{alone}|[{letter}]++{alone}|\\n(?!\\s)|[,.](?=[\\n ])| ?{any_letter}+"
+        f"| ?[{number}]++{alone}| ?{any_number}+|'(?:[stmd]|re|ve|ll)| ?(?:[^\\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
     )
 
 
