@@ -9,6 +9,7 @@ from ..operators.interactions import is_finite
 from ..sources.tables import table
 from .encode import count_tokens, decode, encode
 from .overlap import contained, nearest_sets, overlaps
+from .similar import SimilarSets, linked_sets, similar_sets
 from .surprise import cooccurrence
 from .topn import top_n
 
@@ -61,6 +62,25 @@ def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("set").alias("col_id"), "other", "rank", "shared")
 
 
+def _similar_items(spark: SparkSession, folder: str) -> dict[str, SimilarSets]:
+    """By field: items as sets of users, and as sets of neighbors, of at least 5 values and Jaccard similarity 3/5."""
+    x, g = counting_interactions(spark, folder), counting_gram(spark, folder)
+    return {"row_idx": similar_sets(x, "item_id", "user_id", 0.6, min_size=5), "indices": similar_sets(g, "item_id", "neighbor_id", 0.6, min_size=5)}
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = _similar_items(spark, folder)
+    one, two = (s.pairs().select(F.lit(k).alias("field_name"), F.col("a").alias("item_a"), F.col("b").alias("item_b")) for k, s in found.items())
+    return one.unionByName(two)
+
+
+def p4_items(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per item and field: its class of exact copies, their number, and the links of the class."""
+    found = _similar_items(spark, folder)
+    one, two = (linked_sets(s).select(F.lit(k).alias("field_name"), F.col("e").alias("item_id"), "class", "copies", "links") for k, s in found.items())
+    return one.unionByName(two)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     w = table(spark, folder, "weights").where(F.col("target_item") != F.col("source_item"))
     return top_n(w, "target_item", "source_item", "weight", 10, positive=True).select("target_item", "source_item")
@@ -94,6 +114,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_overlaps": p3_overlaps,
     "p3_nearest": p3_nearest,
+    "p4_found": p4_found,
+    "p4_items": p4_items,
     "p5_found": p5_found,
     "p5_positions": p5_positions,
     "p6_ids": p6_ids,
@@ -109,6 +131,23 @@ _M = """m as (select distinct col_id, row_idx from audiences where col_id is not
  c as (select col_id, count(*) as n from m group by 1),
  ab as (select a.col_id as set_a, b.col_id as set_b, count(*) as shared from m a join m b using (row_idx) where a.col_id < b.col_id group by 1, 2),
  s as (select set_a, set_b, shared, ca.n as size_a, cb.n as size_b from ab join c ca on ca.col_id = set_a join c cb on cb.col_id = set_b)"""
+
+
+
+def _similar(rows: str, element: str, value: str, field: str) -> str:
+    """Exact, through the values of each set that are rarest overall: similar sets share one of those."""
+    return f"""with r as ({rows}), t as (select {element} as e, {value} as v, count(*) over (partition by {element}) as n, count(*) over (partition by {value}) as d from r),
+ o as (select *, row_number() over (partition by e order by d, v) as k from t where n >= 5),
+ p as (select e, v, n from o where k <= n - ceil(0.6 * n - 1e-9) + 1),
+ c as (select distinct x.e as a, y.e as b, x.n as na, y.n as nb from p x join p y using (v) where x.e < y.e),
+ s as (select a, b, na, nb, count(*) as m from c join r x on x.{element} = a join r y on y.{element} = b and y.{value} = x.{value} group by all)
+select '{field}' as field_name, a as item_a, b as item_b from s where m * 5 >= 3 * (na + nb - m)"""
+
+
+_P4 = (
+    _similar("select distinct user_id, item_id from interactions where user_id is not null and item_id is not null and isfinite(val) and val > 0", "item_id", "user_id", "row_idx"),
+    _similar("select distinct item_id, neighbor_id from gram where item_id is not null and neighbor_id is not null and neighbor_id <> item_id and isfinite(p) and p > 0", "item_id", "neighbor_id", "indices"),
+)
 _W = """w as (select target_item, source_item, max(weight) as weight from weights
   where target_item <> source_item and isfinite(weight) and weight > 0 group by 1, 2),
  r as (select *, row_number() over (partition by target_item order by weight desc, source_item) as position from w)"""
@@ -121,6 +160,7 @@ ORACLE = {
     "p3_nearest": f"""with {_M}, d as (select set_a as col_id, set_b as other, shared, shared::double / (size_a + size_b - shared) as j from s
  union all select set_b, set_a, shared, shared::double / (size_a + size_b - shared) from s)
 select col_id, other, row_number() over (partition by col_id order by j desc, other) as rank, shared from d qualify rank <= 3""",
+    "p4_found": f"({_P4[0]}) union all ({_P4[1]})",
     "p5_found": f"with {_W} select target_item, source_item from r where position <= 10",
     "p5_positions": f"with {_W} select * from r where position <= 3",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
