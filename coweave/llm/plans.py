@@ -9,6 +9,8 @@ from ..operators.interactions import is_finite
 from ..sources.tables import table
 from .encode import count_tokens, decode, encode
 from .overlap import contained, nearest_sets, overlaps
+from .packing import Packing, pack_documents
+from .reading import hard_documents, learn_scale, levels
 from .similar import SimilarSets, linked_sets, similar_sets
 from .surprise import cooccurrence
 from .topn import top_n
@@ -107,6 +109,33 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return decode(encode(table(spark, folder, "documents")))
 
 
+def _packed(spark: SparkSession, folder: str) -> Packing:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces: container and stretch of tokens."""
+    return _packed(spark, folder).pieces
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: containers used, the proven least number, tokens, share of room filled, rounds of packing."""
+    p = _packed(spark, folder)
+    fill = p.tokens / (p.containers * 2048) if p.containers else 1.0
+    return spark.createDataFrame([(p.containers, p.bound, p.tokens, fill, p.rounds)], "containers bigint, least bigint, tokens bigint, fill double, rounds int")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return hard_documents(docs, learn_scale(docs, table(spark, folder, "level_labels")))
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Language, words, grade estimates and level of every document."""
+    docs = table(spark, folder, "documents")
+    return levels(docs, learn_scale(docs, table(spark, folder, "level_labels")))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_surprise": p2_surprise,
@@ -121,6 +150,10 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
     "p6_round_trip": p6_round_trip,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_levels": p8_levels,
 }
 
 _X = "x as (select distinct user_id, item_id from interactions where user_id is not null and item_id is not null and isfinite(val) and val > 0)"
