@@ -2,6 +2,7 @@
 
 from . import metrics
 from .estimator import SLIM, NotFittedError
+from .functions.shared import ship
 from .operators.fit import ConvergenceWarning, fit, fit_with_diagnostics
 from .operators.score import predict, recommend
 
@@ -17,4 +18,5 @@ __all__ = [
     "metrics",
     "predict",
     "recommend",
+    "ship",
 ]
