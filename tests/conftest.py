@@ -18,6 +18,7 @@ def spark():
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables are tiny: compiling costs more than it saves
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
