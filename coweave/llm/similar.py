@@ -50,14 +50,20 @@ def depth_for(similarity: float, trees: int = TREES, recall: float = RECALL) ->
 def least_similarity(n: int, hubs: int, threshold: float, min_size: int) -> float:
     """Least Jaccard similarity without hubs of a set (size ``n``, of it ``hubs`` hubs) to any set it is similar to.
 
-    A partner of size m shares at least t/(1+t) (n+m) values, at most ``hubs`` of them hubs; the smallest partner is the worst.
+    A partner of size m shares at least t/(1+t) (n+m) values, at most ``hubs`` of them hubs. The worst m is searched for small
+    sets; for large ones the union is at least n, which gives a bound that rounding hardly changes.
     """
     if not hubs:
         return threshold
-    m = max(min_size, ceil(threshold * n - 1e-9))
-    shared = ceil(threshold / (1.0 + threshold) * (n + m) - 1e-9)
-    rest = shared - hubs
-    return max(0.0, rest / (n + m - shared - hubs)) if rest > 0 else 0.0
+    if n > 200:
+        return max(0.0, (threshold * n - hubs) / (n - hubs)) if n > hubs else 0.0
+    worst = threshold
+    for m in range(max(min_size, ceil(threshold * n - 1e-9)), int(n / threshold + 1e-9) + 1):
+        shared = ceil(threshold / (1.0 + threshold) * (n + m) - 1e-9)
+        if shared <= min(n, m):
+            rest, union = shared - hubs, n + m - shared - hubs
+            worst = min(worst, rest / union if rest > 0 else 0.0)
+    return worst
 
 
 @lru_cache(maxsize=1000)
