@@ -5,8 +5,8 @@ counts the groups that hold both, or sums the products of their values.
 
 Groups of at most ``max_group`` elements are joined with themselves and reduced before the shuffle (map-side
 aggregation), so their pairs are never stored. Larger groups would emit the square of their size: their rows
-go to tiles (two blocks of elements) instead, each of which is added up in one dense array and leaves one row per
-pair, however many large groups share it. Both ways are exact; together they cover every group.
+go to tiles (two blocks of elements) instead, each of which is added up in one dense array together with the counts from the
+small groups, and sends out the pairs that reach the least count. Both ways are exact; together they cover every group.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.sums import ordered_sum
 
 MAX_GROUP = 256
-BLOCK = 1024
+#: Elements of one side of a tile: two dense arrays of this size squared are at most 64 MB.
+BLOCK = 2048
 
 
 def group_sizes(rows: DataFrame, group: str) -> DataFrame:
@@ -34,93 +35,104 @@ def _join_pairs(rows: DataFrame, diagonal: bool) -> DataFrame:
     return a.join(b, "g").where(F.col("a") <= F.col("b") if diagonal else F.col("a") < F.col("b"))
 
 
-def _tile_pairs(rows: DataFrame, n_elements: int, parts: int, diagonal: bool, block: int) -> DataFrame:
-    """(a, b, s, n) over large groups. A row goes to one tile per block, and a tile's rows are met in order of (tile, group)."""
+def _tile_pairs(rows: DataFrame, light: DataFrame, n_elements: int, parts: int, diagonal: bool, block: int, min_count: int) -> DataFrame:
+    """(a, b, s, n) of ``light`` (the same columns, over small groups) plus what the large groups in ``rows`` add.
+
+    A membership goes to one tile per block of elements; a tile meets its memberships in order of groups, adds them up in a
+    dense array, then takes in its pairs of ``light``. Only pairs of at least ``min_count`` groups leave the tile, so a few huge
+    groups do not send out all their pairs.
+    """
     blocks = max(1, -(-n_elements // block))
-    own = F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int")
-    tiled = (
-        rows.withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(F.least("_own", "_other").alias("t1"), F.greatest("_own", "_other").alias("t2"), "_own", "g", "e", "v")
-        .repartition(parts, "t1", "t2")
-        .sortWithinPartitions("t1", "t2", "g", "e")
-    )
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    tile = lambda x, y: (F.least(x, y).alias("t1"), F.greatest(x, y).alias("t2"))
+    members = rows.withColumn("own", of("e")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    members = members.select(*tile("own", "other"), F.lit(0).alias("kind"), "own", "g", "e", "v", F.lit(0).cast("bigint").alias("n"))
+    pairs = light.withColumn("own", of("a")).withColumn("other", of("b"))
+    pairs = pairs.select(*tile("own", "other"), F.lit(1).alias("kind"), "own", F.col("a").alias("g"), F.col("b").alias("e"), F.col("s").alias("v"), "n")
+    tiled = members.unionByName(pairs).repartition(parts, "t1", "t2").sortWithinPartitions("t1", "t2", "kind", "g", "e")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        place: list[dict] = [{}, {}]
-        total = np.zeros((256, 256))
-        shared = np.zeros((256, 256), dtype=np.int64)
+        key: tuple[int, int] | None = None
+        place: list[dict[int, int]] = [{}, {}]
+        total, shared = np.zeros((256, 256)), np.zeros((256, 256), dtype=np.int64)
+        group: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def grown(m: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-            out = np.zeros((max(shape[0], m.shape[0]), max(shape[1], m.shape[1])), dtype=m.dtype)
-            out[: m.shape[0], : m.shape[1]] = m
-            return out
+        def batch_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(a), 65536):
+                cut = slice(k, k + 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (a, b, s, n)], names=["a", "b", "s", "n"])
 
-        def add(es: list[np.ndarray], vs: list[np.ndarray], same: bool) -> None:
+        def close() -> None:
+            """Adds the outer product of the group that ends here."""
             nonlocal total, shared
-            at = []
-            for side in (0, 0) if same else (0, 1):
-                book = place[side]
-                at.append(np.array([book.setdefault(x, len(book)) for x in es[side].tolist()], dtype=np.int64))
-            need = (len(place[0]), len(place[0]) if same else len(place[1]))
+            if not held:
+                return
+            own, e, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            same = key[0] == key[1]
+            first = own == key[0]
+            sides = ((e, v),) if same else ((e[first], v[first]), (e[~first], v[~first]))
+            at = [np.array([place[k].setdefault(x, len(place[k])) for x in side[0].tolist()], dtype=np.int64) for k, side in enumerate(sides)]
+            need = len(place[0]), len(place[0 if same else 1])
             if need[0] > total.shape[0] or need[1] > total.shape[1]:
-                shape = tuple(max(2 * s if n > s else s, n) for n, s in zip(need, total.shape, strict=True))
-                total, shared = grown(total, shape), grown(shared, shape)
-            ix = np.ix_(at[0], at[1])
-            total[ix] += np.outer(vs[0], vs[0 if same else 1])
+                shape = tuple(max(2 * have if want > have else have, want) for want, have in zip(need, total.shape, strict=True))
+                total, shared = (np.pad(m, [(0, shape[k] - m.shape[k]) for k in (0, 1)]) for m in (total, shared))
+            ix = np.ix_(at[0], at[-1])
+            total[ix] += np.outer(sides[0][1], sides[-1][1])
             shared[ix] += 1
 
+        def add(own: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Takes in pairs of small groups; those that no large group can add to leave at once."""
+            same = key[0] == key[1]
+            swap = np.zeros(len(a), bool) if same else own != key[0]
+            left, right = np.where(swap, b, a), np.where(swap, a, b)
+            i = np.array([place[0].get(x, -1) for x in left.tolist()], dtype=np.int64)
+            j = np.array([place[0 if same else 1].get(x, -1) for x in right.tolist()], dtype=np.int64)
+            inside = (i >= 0) & (j >= 0)
+            if same:  # pairs stand on both sides of the diagonal here; flush() reads the side where a <= b
+                np.add.at(total, (i[inside], j[inside]), s[inside])
+                np.add.at(shared, (i[inside], j[inside]), n[inside])
+            else:
+                total[i[inside], j[inside]] += s[inside]
+                shared[i[inside], j[inside]] += n[inside]
+            out = ~inside & (n >= min_count)
+            yield from batch_of(a[out], b[out], s[out], n[out])
+
         def flush() -> Iterator[pa.RecordBatch]:
             if key is None:
                 return
             same = key[0] == key[1]
-            names = [np.array(list(place[0]), dtype=np.int64), np.array(list(place[0 if same else 1]), dtype=np.int64)]
-            i, j = np.nonzero(shared[: len(names[0]), : len(names[1])])
-            a, b = names[0][i], names[1][j]
-            s, n = total[i, j], shared[i, j]
+            names = [np.array(list(place[k]), dtype=np.int64) for k in (0, 0 if same else 1)]
+            i, j = np.nonzero(shared[: len(names[0]), : len(names[1])] >= min_count)
+            a, b, s, n = names[0][i], names[1][j], total[i, j], shared[i, j]
             if same:
                 keep = a <= b if diagonal else a < b
                 a, b, s, n = a[keep], b[keep], s[keep], n[keep]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            for k in range(0, len(a), 65536):
-                cut = slice(k, k + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (a, b, s, n)], names=["a", "b", "s", "n"])
-            total[:] = 0
-            shared[:] = 0
+            yield from batch_of(np.minimum(a, b), np.maximum(a, b), s, n)
+            total[:], shared[:] = 0, 0
             place[0].clear()
             place[1].clear()
 
-        group: tuple | None = None
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def close() -> None:
-            if not held:
-                return
-            own_, e_, v_ = (np.concatenate(x) for x in zip(*held, strict=True))
-            same = key[0] == key[1]
-            if same:
-                add([e_], [v_], True)
-            else:
-                first = own_ == key[0]
-                if first.any() and not first.all():
-                    add([e_[first], e_[~first]], [v_[first], v_[~first]], False)
-            held.clear()
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t1, t2, own_, g, e, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            cuts = np.flatnonzero((np.diff(t1) != 0) | (np.diff(t2) != 0) | (np.diff(g) != 0)) + 1
+            t1, t2, kind, own, g, e, v, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            new = (np.diff(t1) != 0) | (np.diff(t2) != 0) | (np.diff(kind) != 0) | ((np.diff(g) != 0) & (kind[1:] == 0))
+            cuts = np.flatnonzero(new) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(g)], strict=True):
-                tile, now = (int(t1[lo]), int(t2[lo])), (int(t1[lo]), int(t2[lo]), int(g[lo]))
-                if now != group:
+                if (int(t1[lo]), int(t2[lo])) != key:
                     close()
-                    group = now
-                if tile != key:
                     yield from flush()
-                    key = tile
-                held.append((own_[lo:hi], e[lo:hi], v[lo:hi]))
+                    key, group = (int(t1[lo]), int(t2[lo])), None
+                if kind[lo]:
+                    close()
+                    yield from add(own[lo:hi], g[lo:hi], e[lo:hi], v[lo:hi], n[lo:hi])
+                    continue
+                if int(g[lo]) != group:
+                    close()
+                    group = int(g[lo])
+                held.append((own[lo:hi], e[lo:hi], v[lo:hi]))
         close()
         yield from flush()
 
@@ -135,10 +147,11 @@ def pair_products(
     *,
     diagonal: bool = False,
     integral: bool = True,
+    min_count: int = 1,
     max_group: int = MAX_GROUP,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(a, b, s, n) for all a < b (a <= b with ``diagonal``) that share a group: s the sum of value products, n the shared groups.
+    """(a, b, s, n) for all a < b (a <= b with ``diagonal``) that share at least ``min_count`` groups: s the sum of value products, n the shared groups.
 
     ``rows`` holds each (group, element) once, both bigint and not null; ``value=None`` counts 1 for each. With
     ``integral=False`` sums are folded in the order of groups, so they do not depend on partitioning. Empty input
@@ -150,20 +163,17 @@ def pair_products(
     n_large = large.count()
     light = rows if not n_large else rows.join(large, "g", "left_anti")
     pairs = _join_pairs(light, diagonal)
+    term, shared = F.col("va") * F.col("vb"), F.count(F.lit(1)).alias("n")
     if value is None:
-        out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b", F.col("n").cast("double").alias("s"), "n")
+        out = pairs.groupBy("a", "b").agg(shared).select("a", "b", F.col("n").cast("double").alias("s"), "n")
     elif integral:
-        out = pairs.groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"), F.count(F.lit(1)).alias("n"))
+        out = pairs.groupBy("a", "b").agg(F.sum(term).alias("s"), shared)
     else:
-        sums = ordered_sum(pairs, ["a", "b"], F.col("va") * F.col("vb"), F.col("g"), "s")
-        out = sums.withColumn("n", F.lit(1).cast("bigint"))
+        sums = ordered_sum(pairs, ["a", "b"], term, F.col("g"), "s")
+        out = sums.join(pairs.groupBy("a", "b").agg(shared), ["a", "b"])
     if not n_large:
-        return out
+        return out.where(F.col("n") >= min_count)
     heavy = rows.join(large, "g", "left_semi")
     n_elements = heavy.select("e").distinct().count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tiles = _tile_pairs(heavy, n_elements, parts, diagonal, block)
-    light_named = out.select("a", "b", F.lit(0).alias("w"), "s", "n")
-    both = light_named.unionByName(tiles.select("a", "b", F.lit(1).alias("w"), "s", "n"))
-    # two rows a pair at most, and a + b is the same whichever comes first
-    return both.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return _tile_pairs(heavy, out, n_elements, parts, diagonal, block, min_count)

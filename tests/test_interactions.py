@@ -63,16 +63,16 @@ def test_gram_matches_dense(spark, rows):
     assert candidates(gram(x), 2.0).where("p < 2").count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 5, 64])
-def test_tiles_of_any_size_agree(spark, rows, block):
+@pytest.mark.parametrize(("block", "least", "max_group"), [(2, 1, 6), (5, 4, 9), (64, 3, 1), (64, 1, 99)])
+def test_tiles_of_any_size_agree(spark, rows, block, least, max_group):
     from coweave.operators.copairs import pair_products
 
     rng = np.random.default_rng(1)
     m = (rng.random((40, 23)) < 0.4) * rng.integers(1, 5, (40, 23))
     x, _, _ = from_dense(spark, m)
-    found = pair_products(x, "user", "item", "value", diagonal=True, max_group=6, block=block)
+    found = pair_products(x, "user", "item", "value", diagonal=True, min_count=least, max_group=max_group, block=block)
     p, n = m.T @ m, (m > 0).T.astype(int) @ (m > 0)
-    assert rows(found) == sorted(((i, j, float(p[i, j]), n[i, j]) for i in range(23) for j in range(i, 23) if n[i, j]), key=repr)
+    assert rows(found) == sorted(((i, j, float(p[i, j]), n[i, j]) for i in range(23) for j in range(i, 23) if n[i, j] >= least), key=repr)
 
 
 def test_gram_of_unsorted_rows_with_gaps(spark, rows):
