@@ -154,7 +154,7 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
         else:
             parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             inner = spread_join(base, kept.select("e"), ["e"], kept.where(F.col("n") > max(1, n_groups // parts)), ["g"], parts)
-    counts = pair_products(inner, "g", "e", max_group=max_group).where(F.col("n") >= min_count).select("a", "b", F.col("n").alias("n_ab"))
+    counts = pair_products(inner, "g", "e", min_count=min_count, max_group=max_group).select("a", "b", F.col("n").alias("n_ab"))
     sized = lambda end: broadcast_if_small(kept, n_kept).select(F.col("e").alias(end), F.col("n").alias(f"n_{end}"))
     counts = counts.join(sized("a"), "a").join(sized("b"), "b")
     counts = counts.where(F.col("n_ab") * F.lit(float(n_groups)) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
