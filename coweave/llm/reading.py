@@ -43,14 +43,15 @@ def measures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 @dataclass(frozen=True)
 class Scale:
-    """Per language and level cut (level >= 2, 3, 4, 5): slope and offset of each formula's log-odds."""
+    """Per language and level cut (level >= 2, 3, 4, 5): slope and offset of each formula's log-odds, and where their median divides best."""
 
     cuts: dict[tuple[str, int], list[tuple[float, float]]] = field(default_factory=dict)
+    divides: dict[tuple[str, int], float] = field(default_factory=dict)
 
     def log_odds(self, language: str, cut: int, estimates: np.ndarray) -> np.ndarray:
-        """Median over formulas of the log-odds that the level is at least ``cut``; one row of estimates per article."""
+        """Median over formulas of the log-odds that the level is at least ``cut``, less its divide; one row of estimates per article."""
         lines = np.array(self.cuts[language, cut])
-        return np.median(estimates * lines[:, 0] + lines[:, 1], axis=1)
+        return np.median(estimates * lines[:, 0] + lines[:, 1], axis=1) - self.divides.get((language, cut), 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -70,15 +71,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
+def _divide(odds: np.ndarray, y: np.ndarray) -> float:
+    """The value that parts ``y`` with fewest errors, between -3 and 3; of several the middle one. Far ratings, which bend a logistic fit, do not count here."""
+    if not len(odds) or y.min() == y.max():
+        return 0.0
+    order = np.argsort(odds, kind="stable")
+    x, z = odds[order], y[order]
+    errors = np.r_[0, np.cumsum(z)] + (len(z) - z.sum()) - np.r_[0, np.cumsum(~z)]  # the first k below the divide
+    at = np.r_[x[0] - 1, (x[1:] + x[:-1]) / 2, x[-1] + 1]
+    near = np.abs(at) <= 3
+    if not near.any():
+        return 0.0
+    best = at[near][errors[near] == errors[near].min()]
+    return float((best.min() + best.max()) / 2)
+
+
 def fit_scale(language: np.ndarray, estimates: np.ndarray, level: np.ndarray) -> Scale:
     """The scale from rated articles. A language of fewer than 30 of them is read with the cuts of all languages together."""
-    cuts = {}
+    scale = Scale()
     for g in FUNCTION_WORDS:
         own = language == g
         used = own if own.sum() >= 30 else np.ones(len(level), dtype=bool)
         for cut in LEVELS[1:]:
-            cuts[g, cut] = [_logistic(estimates[used, k], (level[used] >= cut).astype(float)) for k in range(len(FORMULAS))]
-    return Scale(cuts)
+            above = level[used] >= cut
+            scale.cuts[g, cut] = [_logistic(estimates[used, k], above.astype(float)) for k in range(len(FORMULAS))]
+            scale.divides[g, cut] = _divide(scale.log_odds(g, cut, estimates[used]), above)
+    return scale
 
 
 def learn_scale(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", most: int = FIT_DOCUMENTS) -> Scale:
