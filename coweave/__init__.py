@@ -2,7 +2,7 @@
 
 from . import metrics
 from .estimator import SLIM, NotFittedError
-from .functions.shared import ship
+from .functions.shared import release, ship
 from .operators.fit import ConvergenceWarning, fit, fit_with_diagnostics
 from .operators.score import predict, recommend
 
@@ -18,5 +18,6 @@ __all__ = [
     "metrics",
     "predict",
     "recommend",
+    "release",
     "ship",
 ]

@@ -91,3 +91,9 @@ def holdout_split(x: DataFrame, train_tenths: int = 8, seed: int = 42) -> tuple[
     """(train, test) by arithmetic on numeric keys, so a cell falls on the same side at every run and in every engine."""
     tenth = F.pmod(F.col("user") * 31 + F.col("item") * 17 + seed, F.lit(10))
     return x.where(tenth < train_tenths), x.where(tenth >= train_tenths)
+
+
+def random_split(x: DataFrame, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test): each cell falls on the train side with chance ``fraction``, by a seeded hash of its keys, so a re-run task splits alike."""
+    side = F.pmod(F.xxhash64("user", "item", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    return x.where(side), x.where(~side)

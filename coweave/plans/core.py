@@ -11,7 +11,7 @@ from ..operators import score
 from ..operators.gram import candidates, diagonal, gram, gram_row, off_diagonal
 from ..operators.interactions import binarise, canonical, check_values, holdout_split, is_finite, transpose
 from ..operators.skew import count_state, heavy_keys, max_state, min_state, sum_state, totals_by_key
-from ..sources.tables import table
+from ..sources.tables import read_interactions, synthetic, table
 
 
 def orders_by(spark: SparkSession, folder: str, item: str) -> DataFrame:
@@ -160,6 +160,30 @@ def _shown(r: DataFrame) -> DataFrame:
     return r.select("user", F.col("rank").cast("bigint").alias("rank"), "item", F.when(seen, F.lit(-1.0)).otherwise(F.col("score")).alias("score"))
 
 
+def top_of_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best unseen brands by score, without filling."""
+    train, _ = holdout_split(counted(spark, folder, "brand"))
+    best = score.top_k(score.predict(gram_weights(train, 50.0), train), 3)
+    return best.select("user", F.col("rank").cast("bigint").alias("rank"), "item", "score")
+
+
+def explained(spark: SparkSession, folder: str) -> DataFrame:
+    """What each brand of a customer's history adds to the scores of unseen brands."""
+    train, _ = holdout_split(counted(spark, folder, "brand"))
+    w = gram_weights(train, 50.0)
+    return score.explain(w, train, score.predict(w, train))
+
+
+def rated_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings read as a source and turned into 1.0 where positive."""
+    return read_interactions(spark, f"{folder}/events.parquet", user="user_id", item="event_id", value="value", positive_only=True)
+
+
+def synthetic_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Draws per user and item of the synthetic source, as many users as there are customers."""
+    return canonical(synthetic(spark, table(spark, folder, "customer").count()), integral=True)
+
+
 def recommend_topk(spark: SparkSession, folder: str) -> DataFrame:
     x = counted(spark, folder, "supplier")
     return _shown(score.recommend(gram_weights(x, 40.0), x, 5, exclude_seen=False))
@@ -265,6 +289,10 @@ QUERIES = {
     "predict_scores": predict_scores,
     "predict_unseen": predict_unseen,
     "predict_dense": predict_dense,
+    "top_k_scores": top_of_scores,
+    "explain": explained,
+    "source_ratings": rated_source,
+    "source_synthetic": synthetic_source,
     "recommend_topk": recommend_topk,
     "recommend_fill": recommend_fill,
     "recommend_with_seen": recommend_with_seen,

@@ -124,3 +124,17 @@ def test_metrics_of_scores_and_bad_ids(spark):
         evaluate(test, test, 3)
     with pytest.raises(ValueError, match="do not cover"):
         evaluate(ranked(spark, RANKED), test, 3, users=spark.range(1).toDF("user"))
+
+
+def test_comparison_of_models(spark):
+    from coweave.params import SolverParams
+    from coweave.plans.compare import compare
+    from coweave.sources.tables import markdown
+
+    rng = np.random.default_rng(0)
+    taste = rng.random((60, 2)) < 0.5
+    m = (rng.random((60, 16)) < np.where(taste[:, [0] * 8 + [1] * 8], 0.7, 0.05)).astype(float)
+    x, _, _ = from_dense(spark, m)
+    one, two = compare(x, SolverParams(0.5, 0.5, 5, 1e-6), 4, factors=4)
+    assert one["model"] == "sparse linear" and one["weights"] > 0 and 0 < one["ndcg@4"] <= 1 and 0 < two["ndcg@4"] <= 1
+    assert markdown([one, two]).count("\n") == 3
