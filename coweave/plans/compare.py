@@ -33,14 +33,14 @@ DATA: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def factorised(train: DataFrame, k: int, factors: int, passes: int, seed: int) -> DataFrame:
-    """(user, item, score): the k best unseen items by implicit alternating least squares."""
+    """(user, item, score): up to k best unseen items by implicit alternating least squares."""
     x = train.select(F.col("user").cast("int"), F.col("item").cast("int"), F.col("value").cast("float"))
     model = ALS(rank=factors, maxIter=passes, regParam=0.01, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="value", seed=seed).fit(x)
     # enough for k to remain once seen items are taken out
     most = train.groupBy("user").count().agg(F.max("count")).first()[0] or 0
     found = model.recommendForUserSubset(x.select("user").distinct(), k + most).select("user", F.explode("recommendations").alias("r"))
     scores = found.select(F.col("user").cast("bigint").alias("user"), F.col("r.item").cast("bigint").alias("item"), F.col("r.rating").cast("double").alias("score"))
-    return top_k(unseen(scores, train), k)
+    return top_k(unseen(scores, train), k).drop("rank")  # scores, as a user may have fewer than k left
 
 
 def compare(x: DataFrame, params: SolverParams, k: int = 10, seed: int = 42, baseline: bool = True, factors: int = 64) -> list[dict]:
