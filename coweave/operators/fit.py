@@ -92,9 +92,9 @@ class MatrixRows:
 
 def _solve_broadcast(x: DataFrame, universe: DataFrame, p: SolverParams) -> DataFrame:
     spark = x.sparkSession
-    table = x.select("user", "item", "value").toPandas()  # at most BROADCAST_CELLS rows, counted before
+    table = x.select("user", "item", "value").toArrow().to_pandas()  # at most BROADCAST_CELLS rows, counted before
     kind = x.schema["item"].dataType
-    items = np.sort(universe.toPandas()["item"].to_numpy())
+    items = np.sort(universe.toArrow().to_pandas()["item"].to_numpy())
     user, users = pd.factorize(table["user"], sort=True)
     item = np.searchsorted(items, table["item"].to_numpy())
     shared = spark.sparkContext.broadcast((MatrixRows(user, item, table["value"].to_numpy(), len(users), len(items)), items))
