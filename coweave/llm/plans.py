@@ -39,13 +39,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_surprise(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs with at least 8 common users, popular items included: counts, expectation, p-value and q-value."""
-    return cooccurrence(counting_interactions(spark, folder), "user_id", "item_id", min_count=8).pairs
+    """All pairs with a common user, popular and rare items included: counts, expectation, p-value and q-value over all pairs."""
+    return cooccurrence(counting_interactions(spark, folder), "user_id", "item_id").pairs
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts of `p2_surprise`."""
-    return p2_surprise(spark, folder).select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    """The counts of `p2_surprise` for pairs with at least 8 common users, the limit in the SQL of this query."""
+    return cooccurrence(counting_interactions(spark, folder), "user_id", "item_id", min_count=8).pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,6 +27,9 @@ CLASS_WIDTH = 0.01
 #: p-values are ranked in steps of 1/50 of their natural logarithm, rounded up: q-values are at most 2 % too large.
 P_STEPS = 50
 LEAST_LOG_P = -745.0
+#: Coin flips below this probability enter a characteristic function by power sums, as many as leave an error below 1e-12.
+SERIES_BELOW = 0.1
+SERIES_TERMS = 20
 
 
 def size_class(n: Column) -> Column:
@@ -98,12 +101,20 @@ def log_tail(members: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
     half = int(2 ** np.ceil(np.log2(12 * np.sqrt(((r * (1 - r)) @ members).max()) + 24)))
     window = 2 * half
     out = np.empty(len(k))
-    angles = 2j * np.pi * np.arange(half + 1) / window
+    turn = np.exp(2j * np.pi * np.arange(half + 1) / window) - 1
     span = np.arange(-half, half)
+    # ln(1 + r turn) of rare flips as a series in turn: one power sum per term stands for all classes
+    rare = np.where(r < SERIES_BELOW, r, 0.0)
+    sums, power = np.empty((len(k), SERIES_TERMS)), np.ones_like(rare)
+    for j in range(SERIES_TERMS):
+        power *= rare
+        sums[:, j] = power @ members
+    order = np.arange(1, SERIES_TERMS + 1)
+    series = (-((-turn[None, :]) ** order[:, None])) / order[:, None]
     for row in range(len(k)):
-        flips = r[row]
-        used = flips > 0
-        phi = np.exp(members[used] @ np.log(1 - flips[used, None] + flips[used, None] * np.exp(angles)[None, :]))
+        used = r[row] >= SERIES_BELOW
+        flips = r[row][used]
+        phi = np.exp(sums[row] @ series + members[used] @ np.log(1 + flips[:, None] * turn[None, :]))
         pmf = np.fft.irfft(np.conj(phi), window)
         at = centre[row] + span
         mass = np.maximum(pmf[at % window], 0.0)
@@ -131,7 +142,8 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
     ``rows`` has bigint ``group`` and ``item``; nulls in either are left out, repeated rows count once, other columns are
     ignored. An empty table gives no pairs. Both limits are used before pairs are formed, exactly: an item of
     fewer than ``min_count`` groups, or of more than n_groups / min_lift, is in no such pair. The null model is fitted to
-    all rows nonetheless. q-values take every pair of items as tested; pairs below the limits count as not significant.
+    all rows nonetheless. q-values take every pair of items as tested; pairs below the limits get no rank, so with limits
+    q-values are upper bounds.
     """
     if min_count < 1:
         raise ValueError(f"min_count must be >= 1, got {min_count}")
@@ -158,34 +170,44 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
     sized = lambda end: broadcast_if_small(kept, n_kept).select(F.col("e").alias(end), F.col("n").alias(f"n_{end}"))
     counts = counts.join(sized("a"), "a").join(sized("b"), "b")
     counts = counts.where(F.col("n_ab") * F.lit(float(n_groups)) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
-    counts = counts.select("a", "b", "n_ab", "n_a", "n_b", size_class(F.col("n_a")).alias("ca"), size_class(F.col("n_b")).alias("cb"))
-    shared = base.sparkSession.sparkContext.broadcast((item_class, group_members, chance))  # a few thousand classes squared
+    counts = written(counts.select("a", "b", "n_ab", "n_a", "n_b"), "pair-counts")
+    ca, cb = size_class(F.col("n_a")), size_class(F.col("n_b"))
+    counts = counts.withColumn("c1", F.least(ca, cb)).withColumn("c2", F.greatest(ca, cb))
+    case = ["c1", "c2", "n_ab"]  # pairs of one case have the same tail, which is computed once
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cases = counts.groupBy(*case).agg(F.count(F.lit(1)).alias("m"))
+    # equal shares of cases to tasks, those of like counts together: they need windows of like size
+    cases = cases.repartition(4 * parts, *case).sortWithinPartitions("n_ab", "c1", "c2")
+    shared = base.sparkSession.sparkContext.broadcast((item_class, group_members, np.ascontiguousarray(chance.T)))  # a few thousand classes squared
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, members, p = shared.value
         for batch in batches:
-            ca, cb, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ca", "cb", "n_ab"))
-            cases, back = np.unique(np.stack([np.minimum(ca, cb), np.maximum(ca, cb), n]), axis=1, return_inverse=True)
-            logs, means = np.empty(cases.shape[1]), np.empty(cases.shape[1])
-            for lo in range(0, cases.shape[1], 512):
-                one = cases[:, lo : lo + 512]
-                q = (p[:, np.searchsorted(classes, one[0])] * p[:, np.searchsorted(classes, one[1])]).T
-                means[lo : lo + 512] = q @ members
-                logs[lo : lo + 512] = log_tail(members, q, one[2])
-            back = back.reshape(-1)
-            cols = [batch.column(c) for c in ("a", "b", "n_ab", "n_a", "n_b")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(means[back]), pa.array(logs[back])], names=["a", "b", "n_ab", "n_a", "n_b", "expected", "log_p"])
-
-    tested = written(counts.mapInArrow(tails, "a bigint, b bigint, n_ab bigint, n_a bigint, n_b bigint, expected double, log_p double"), "surprise")
+            c1, c2, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in case)
+            logs, means = np.empty(len(n)), np.empty(len(n))
+            for lo in range(0, len(n), 256):
+                one = slice(lo, lo + 256)
+                q = p[np.searchsorted(classes, c1[one])] * p[np.searchsorted(classes, c2[one])]
+                means[one] = q @ members
+                logs[one] = log_tail(members, q, n[one])
+            cols = [batch.column(c) for c in (*case, "m")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(means), pa.array(logs)], names=[*case, "m", "expected", "log_p"])
+
+    tested = written(cases.mapInArrow(tails, "c1 int, c2 int, n_ab bigint, m bigint, expected double, log_p double"), "surprise")
+    n_cases = tested.count()
     step = F.floor(-F.greatest(F.col("log_p"), F.lit(LEAST_LOG_P)) * P_STEPS).cast("int")
     # at most 37,251 steps, whatever the number of pairs
-    bins = tested.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("step").desc()).collect()
+    bins = tested.groupBy(step.alias("step")).agg(F.sum("m").alias("m")).orderBy(F.col("step").desc()).collect()
     rank = np.cumsum([r.m for r in bins]) if bins else np.empty(0)
     tests = n_items * (n_items - 1) / 2
     q = np.array([np.exp(-r.step / P_STEPS) for r in bins]) * tests / rank if bins else np.empty(0)
     q = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1.0) if bins else q
     book = base.sparkSession.createDataFrame([(int(r.step), float(x)) for r, x in zip(bins, q, strict=True)], "step int, q_value double")
-    pairs = tested.withColumn("step", step).join(F.broadcast(book), "step", "left")
+    known = tested.withColumn("step", step).join(F.broadcast(book), "step", "left").select(*case, "expected", "log_p", "q_value")
+    if n_cases <= BROADCAST_ROWS:
+        pairs = counts.join(F.broadcast(known), case)
+    else:
+        pairs = spread_join(counts, known, case, tested.where(F.col("m") > 100_000), ["a", "b"], parts)
     lift = F.col("n_ab") * F.lit(float(n_groups)) / (F.col("n_a") * F.col("n_b"))
     return Cooccurrence(
         pairs.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_ab", "n_a", "n_b", lift.alias("lift"), "expected", "log_p", "q_value"),
