@@ -8,7 +8,7 @@ meets that recall in this number of trees, so sets deepen as far as they may and
 
 Values that very many sets hold ("hubs") would put unrelated sets side by side. Sketches are drawn from the other values,
 and a set's least similarity there follows from its size and its number of hubs; only sets so full of hubs that
-nothing can be promised go to a second forest over all their values. Exact copies are sketched once and put back at the end.
+nothing can be promised go to a second forest over all their values, as deep as the threshold itself allows. Exact copies are sketched once and put back at the end.
 No cap on neighbourhoods or candidates: large neighbourhoods are spread over tasks in tiles.
 """
 
@@ -225,8 +225,10 @@ def sketches(sets: DataFrame, threshold: float, min_size: int, trees: int = TREE
     return _finished(raw, threshold, min_size, trees)
 
 
-def _tree_rows(found: DataFrame, trees: int) -> DataFrame:
-    """(k, rest, e, n, depth): a set's place in each tree. k is the tree with the first value, or in the second forest the whole signature."""
+def _tree_rows(found: DataFrame, trees: int, full_depth: int) -> DataFrame:
+    """(k, rest, e, n, depth): a set's place in each tree. k is the tree with the first value, or in the second forest the prefix of ``full_depth`` values."""
+    # bits of a packed signature that hold its first full_depth values
+    prefix = np.uint64(2**64 - 2 ** (16 * (DEPTH - full_depth)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = np.arange(trees, dtype=np.uint64)
@@ -244,8 +246,8 @@ def _tree_rows(found: DataFrame, trees: int) -> DataFrame:
                 at = [k for k, x in enumerate(full) if x is not None]
                 if at:
                     packed = np.frombuffer(b"".join(full[k] for k in at), np.uint64).reshape(len(at), trees)
-                    key = _mixed(packed ^ (tree[None, :] * np.uint64(0xD1342543DE82EF95))) | np.uint64(1 << 63)
-                    yield place(e[cut][at], n[cut][at], np.full(len(at), DEPTH), packed, key, np.ones(packed.shape, bool))
+                    key = _mixed((packed & prefix) ^ (tree[None, :] * np.uint64(0xD1342543DE82EF95))) | np.uint64(1 << 63)
+                    yield place(e[cut][at], n[cut][at], np.full(len(at), full_depth), packed, key, np.ones(packed.shape, bool))
 
         return
 
@@ -329,8 +331,12 @@ def similar_sets(rows: DataFrame, element: str, value: str, threshold: float = 0
 
     Both columns are bigint; nulls in either are left out, repeated rows count once, other columns are ignored, an empty
     table gives nothing. Sets of fewer than ``min_size`` values do not take part. Every returned link is checked
-    exactly; a true one is missed with a chance of about 1 in 5,000 at the threshold itself, far less above it.
+    exactly; a true one is missed with a chance of at most 1 in 5,000 at the threshold itself, far less above it. A threshold
+    too low for that in this number of trees (below about 0.19 in 40) is a ValueError.
     """
+    full_depth = depth_for(threshold, trees)
+    if not full_depth:
+        raise ValueError(f"threshold {threshold} is too low for a recall of {RECALL} in {trees} trees")
     base = rows.select(F.col(element).alias("e"), F.col(value).alias("v")).where(F.col("e").isNotNull() & F.col("v").isNotNull())
     base = written(base.distinct(), "memberships")
     spark = base.sparkSession
@@ -363,7 +369,7 @@ def similar_sets(rows: DataFrame, element: str, value: str, threshold: float = 0
     sets = sets.select("e", "v", F.coalesce("hub", F.lit(False)).alias("hub"))
 
     found = written(sketches(sets, threshold, min_size, trees), "sketches")
-    pairs = _promising(_neighbours(_tree_rows(found, trees), threshold), found, trees)
+    pairs = _promising(_neighbours(_tree_rows(found, trees, full_depth), threshold), found, trees)
     pairs = written(pairs, "candidates")
 
     # exact check: the values of the smaller set, looked up in the larger one
