@@ -1,10 +1,10 @@
-"""All similar pairs between set-valued records: a forest of sorted minhash sketches, then an exact check.
+"""All similar pairs between set-valued records: a forest of minhash sketches, then an exact check.
 
-Each set gets, in each of many independent trees, a signature of three minhash values. A tree orders its sets by
-signature; sets that agree on a longer prefix stand closer together. Two sets become candidates if some tree has them in
-one prefix neighbourhood of the depth that both of them need, and every pair that reaches the threshold does so
-with the target recall: a set's depth is the deepest at which the least similarity it can have to a true partner still
-meets that recall in this number of trees, so sets deepen as far as they may and no further.
+Each set gets, in each of many independent trees, a signature of three minhash values. Two sets become candidates if some
+tree has them in one prefix neighbourhood of the depth that both of them need, and every pair that reaches the threshold
+does so with the target recall: a set's depth is the deepest at which the least similarity it can have to a true partner
+still meets that recall in this number of trees. Depths are computed in advance and neighbourhoods are found by an equality
+join on prefixes; nothing is sorted or deepened step by step.
 
 Values that very many sets hold ("hubs") would put unrelated sets side by side. Sketches are drawn from the other values,
 and a set's least similarity there follows from its size and its number of hubs; only sets so full of hubs that
