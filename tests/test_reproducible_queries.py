@@ -1,0 +1,23 @@
+import pytest
+from pyspark.sql import functions as F
+
+from coweave.operators import score
+from coweave.plans import core
+
+
+@pytest.mark.parametrize("query", ["recommend_fit_part", "evaluate_fit_interactions"])
+def test_registered_queries_sum_scores_in_a_fixed_order(spark, query, monkeypatch):
+    asked = []
+
+    def scores(history, weights, reproducible=True):
+        asked.append(reproducible)
+        raise InterruptedError  # the sum itself is tested elsewhere
+
+    monkeypatch.setattr(score, "score_pairs", scores)
+    rows = [(u, (u * k) % 7) for u in range(1, 15) for k in (1, 2, 3)]
+    x = spark.createDataFrame(rows, "user bigint, item bigint").distinct()
+    monkeypatch.setattr(core, "counted", lambda *_: x.withColumn("value", F.lit(1.0)))
+    monkeypatch.setattr(core, "counting_interactions", lambda *_: x.select(F.col("user").alias("user_id"), F.col("item").alias("item_id")))
+    with pytest.raises(InterruptedError):
+        core.QUERIES[query](spark, "")
+    assert asked == [True]
