@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,6 @@ from .encode import count_tokens
 CAPACITY = 2048
 #: Pieces that one partition packs, on average.
 PARTITION_PIECES = 25_000
-ROUNDS = 4
 
 
 def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -135,12 +135,13 @@ def _parts(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> Packing:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int | None = None) -> Packing:
     """Lays items of ``size`` into containers of ``capacity``.
 
     An item is divided only if it alone exceeds the capacity: into full containers and one rest. Items of size 0 or null
     take no room; they have one piece from 0 to 0 with a null container. Every row is its own item, repeated keys
-    included; other columns are ignored; an empty table gives no containers.
+    included; other columns are ignored; an empty table gives no containers. ``rounds`` limits the repackings; by default they go on
+    until the bound is met or a round saves nothing.
     """
     if capacity < 1:
         raise ValueError(f"capacity must be >= 1, got {capacity}")
@@ -162,14 +163,14 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
 
     def identified(packed: DataFrame, no: int) -> DataFrame:
         """Container numbers that no other round, partition or bin has."""
-        number = F.shiftleft(F.lit(no).cast("bigint"), 58).bitwiseOR(F.shiftleft(F.col("part").cast("bigint"), 32)).bitwiseOR(F.col("bin"))
+        number = F.shiftleft(F.lit(no).cast("bigint"), 52).bitwiseOR(F.shiftleft(F.col("part").cast("bigint"), 30)).bitwiseOR(F.col("bin"))
         return packed.select(*columns, number.alias("container"))
 
     def counted(packed: DataFrame) -> int:
         per = packed.groupBy("part").agg((F.max("bin") + 1).alias("bins"))
         return per.agg(F.sum("bins").alias("bins")).first().bins
 
-    for no in range(rounds + 1):
+    for no in count():
         if not n:
             break
         packed = written(_pack(todo, _parts(n, partition_pieces), no, capacity), f"packed-{no}")
