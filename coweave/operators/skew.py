@@ -3,8 +3,9 @@
 1. Rows get a fixed input partition by hash of their own identity, and a number among the rows of their key there.
 2. Rows are counted per (key, input partition); a running sum over these counts gives every (key, partition) its exact
    offset, so every row has an exact position in the order of keys.
-3. Positions are cut into chunks of equal size. A chunk is worked on by one task whatever its keys are: a key of a
-   third of all rows just fills many chunks, and thousands of small keys share one.
+3. Positions are cut into chunks of equal size: a key of a third of all rows just fills many chunks, and thousands of
+   small keys share one. A chunk is a grouping label: rows are aggregated by (chunk, key) on the map side where they lie
+   and are not moved to one task per chunk. Balance comes from the hash in 1.
 4. A key inside one chunk is finished there. Keys that cross a chunk border leave one state per chunk, merged in
    order of chunks.
 """
