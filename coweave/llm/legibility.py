@@ -21,8 +21,8 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des und im am ein eine einen einer zu zum zur nach mit auf bei ist war".split(),
     "fr": "le la les un une des du et au aux en de son sa ses dans sur est avec pour par car".split(),
 }
-# Words of adverts, lists and notices of any trade.
-CUES = ("Reward", "Apply ", "Cash only", "per box", "per qr", "lb.", " rent", "& S", "***", "...", " tons")
+# Words and signs of adverts, lists and notices as these pages have them, as whole words.
+CUES = re.compile(r"\bReward\b|\bApply\b |\bCash only\b|\bper (?:box|qr)\b|(?<![^\W\d_])lb\.| rent\b|& S|\*\*\*|\.\.\.| tons\b")
 SHOUT = re.compile(r"[A-ZÄÖÜÉÈ]{3}")
 FIGURE = re.compile(r"[0-9£½]")
 PRICE = re.compile(r"[0-9£½](?:(?<=[£½])|(?= ?[sdf]\b)|(?= rooms))")
@@ -76,7 +76,7 @@ def segments(text: str) -> list[str]:
             piece = piece.strip()
             if not piece:
                 continue
-            if SHOUT.search(piece) or (FIGURE.search(piece) and PRICE.search(piece)) or any(c in piece for c in CUES):
+            if SHOUT.search(piece) or (FIGURE.search(piece) and PRICE.search(piece)) or CUES.search(piece):
                 advert = True
                 continue
             if RUBBISH.search(piece) and 2 * sum(map(str.isalpha, piece)) < len(piece):

@@ -1,0 +1,13 @@
+import pytest
+
+from coweave.llm.legibility import segments
+
+
+@pytest.mark.parametrize("line", ["il fallait rentrer avant la nuit", "er blieb deshalb. Dann ging er", "la somme du rentier de la ville"])
+def test_words_that_hold_a_cue_stay_in_the_article(line):
+    assert segments(line) == [line]
+
+
+@pytest.mark.parametrize("line", ["House to let, low rent, near the mill", "Butter 12 lb. at the market", "Coal by 40 tons or more"])
+def test_cues_as_whole_words_are_left_out(line):
+    assert segments(line) == []
