@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one is set for the session."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one is set for a session on one machine (master ``local``).
+
+    On a cluster an unset folder is a ValueError: executors would write to disks of their own that others cannot read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"intermediate tables need a folder that all executors share: set spark.checkpoint.dir (master {master})")
         folder = f"file://{tempfile.mkdtemp(prefix='coweave-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
