@@ -5,54 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.interactions import as_interactions, canonical
+from .functions.shared import written
+from .operators.interactions import as_interactions, item_universe, settled
 from .operators.score import top_k
-from .params import integer_at_least
+from .params import setting
 
 __all__ = ["ndcg_at_k", "precision_at_k", "recall_at_k"]
 
 
-def _ranked(predictions: DataFrame, k: int, items: DataFrame | None) -> DataFrame:
-    """(user, item, rank) of the first k. A `rank` column means ranked ids, otherwise a `score` column is ranked."""
-    if "rank" not in predictions.columns:
-        if "score" not in predictions.columns:
-            raise ValueError(f"predictions need a rank or a score column, got {predictions.columns}")
-        return top_k(predictions.select("user", "item", "score"), k).select("user", "item", "rank")
+def _checked_ranks(predictions: DataFrame, k: int, items: DataFrame | None) -> DataFrame:
+    """(user, item, rank) of the first k places of written ranked ids; every user has to have k known, different ones."""
     first = predictions.where(F.col("rank") < k).select("user", "item", "rank")
-    short = predictions.groupBy("user").agg(F.count_if(F.col("rank") < k).alias("n")).where(F.col("n") < k)
-    if items is None or items.count() >= k:
-        bad = short.first()
-        if bad is not None:
-            raise ValueError(f"predictions holds only {bad.n} ranked items for user {bad.user}, need at least k={k}")
-    if items is not None:
-        bad = first.join(items.select("item").distinct(), "item", "left_anti").first()
-        if bad is not None:
-            raise ValueError(f"predictions holds item id {bad.item} for user {bad.user}, outside the known items")
-    bad = first.groupBy("user", "item").count().where(F.col("count") > 1).first()
-    if bad is not None:
-        raise ValueError(f"predictions repeats item id {bad.item} for user {bad.user} within the top k")
+    most = k if items is None else min(k, items.count())
+    marked = first.withColumn("_known", F.lit(True)) if items is None else first.join(items.withColumn("_known", F.lit(True)), "item", "left")
+    per_user = marked.groupBy("user").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("item").alias("different"),
+        F.min(F.when(F.col("_known").isNull(), F.col("item"))).alias("stray"),
+    )
+    everyone = predictions.select("user").distinct().join(per_user, "user", "left")
+    n = F.coalesce("n", F.lit(0))
+    worst = everyone.agg(
+        F.min(F.when(F.col("stray").isNotNull(), F.struct("user", "stray"))).alias("stray"),
+        F.min(F.when(F.col("different") < n, F.struct("user"))).alias("twice"),
+        F.min(F.when(n < most, F.struct("user", n.alias("n")))).alias("short"),
+    ).first()
+    if worst.stray is not None:
+        raise ValueError(f"user {worst.stray.user} is predicted item {worst.stray.stray}, outside the given items")
+    if worst.twice is not None:
+        raise ValueError(f"user {worst.twice.user} is predicted an item that repeats among the first {k}")
+    if worst.short is not None:
+        raise ValueError(f"user {worst.short.user} has {worst.short.n} ranked items; at least k={most} are needed")
     return first
 
 
-def evaluate(predictions: DataFrame, test: DataFrame, k: int = 10, *, items: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
-    """One row (precision_at_k, recall_at_k, ndcg_at_k, n_users) from one pass.
+def _checked_scores(predictions: DataFrame, items: DataFrame | None, complete: bool) -> None:
+    """Raises if written scores hold a null or NaN, a repeated cell, an item outside ``items``, or (``complete``) lack a cell."""
+    per_user = predictions.groupBy("user").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("item").alias("different"),
+        F.count_if(F.col("user").isNull() | F.col("item").isNull() | F.col("score").isNull() | F.isnan("score")).alias("void"),
+    )
+    worst = per_user.agg(
+        F.sum("void").alias("void"),
+        F.min(F.when(F.col("different") < F.col("n"), F.struct("user"))).alias("twice"),
+        F.min(F.struct("n", "user")).alias("least"),
+    ).first()
+    if worst.void:
+        raise ValueError(f"predictions hold {worst.void} scores that are null, NaN or without user or item")
+    if worst.twice is not None:
+        raise ValueError(f"predictions score an item twice for user {worst.twice.user}")
+    if items is None:
+        return
+    stray = predictions.join(items, "item", "left_anti").select("user", "item").first()
+    if stray is not None:
+        raise ValueError(f"predictions score item {stray.item} for user {stray.user}, outside the given items")
+    n_items = items.count()
+    if complete and worst.least is not None and worst.least.n < n_items:
+        raise ValueError(f"predictions score {worst.least.n} of {n_items} items for user {worst.least.user}")
+
+
+def evaluate(predictions: DataFrame, test: DataFrame, k: int = 10, *, items: DataFrame | None = None, users: DataFrame | None = None, complete: bool = False) -> DataFrame:
+    """One row (precision_at_k, recall_at_k, ndcg_at_k, n_users). ``predictions`` are computed once.
 
     ``predictions`` is (user, item, rank) or (user, item, score), ``test`` the held-out (user, item, value). Users
-    without held-out items do not count; with none at all every metric is 0. Precision divides by k. Ranked ids are
-    checked for all users: unknown ids (if ``items`` is given), repeated ids and too few ids raise ValueError, as
-    does a held-out user outside ``users`` if given.
+    without held-out items do not count; with none at all every metric is 0. Precision divides by k. Both forms are
+    checked for all users. Ranked ids: unknown ids (if ``items`` is given), repeated ids and too few ids raise ValueError.
+    Scores: nulls, NaN, cells scored twice and unknown items do, and with ``complete`` cells of ``items`` without score, which
+    otherwise stand behind all scored ones. A held-out user outside ``users``, if given, is a ValueError too.
     """
-    k = integer_at_least(k, "k", 1)
+    k = setting("k", k)
     value = "value" if "value" in test.columns else None
-    held = canonical(as_interactions(test, value=value), "test_matrix").select("user", "item")
+    held = settled(as_interactions(test, value=value), "test_matrix")[0].select("user", "item")
     if users is not None:
         stray = held.join(users.select("user").distinct(), "user", "left_anti").first()
         if stray is not None:
             raise ValueError(f"test_matrix holds user {stray.user}, whom predictions do not cover")
-    ranked = _ranked(predictions, k, items)
+    items = None if items is None else item_universe(items, items)
     width = k
-    if "rank" not in predictions.columns and items is not None:
-        width = min(k, items.select("item").distinct().count())
+    if "rank" in predictions.columns:
+        ranked = _checked_ranks(written(predictions.select("user", "item", "rank"), "ranked"), k, items)
+    elif "score" in predictions.columns:
+        scores = written(predictions.select("user", "item", F.col("score").cast("double").alias("score")), "scored")
+        _checked_scores(scores, items, complete)
+        ranked = top_k(scores, k).select("user", "item", "rank")
+        width = k if items is None else min(k, items.count())
+    else:
+        raise ValueError(f"predictions need a rank or a score column, got {predictions.columns}")
     gain = 1.0 / F.log2(F.col("rank") + 2.0)
     hits = ranked.join(held, ["user", "item"], "left_semi").groupBy("user").agg(F.count(F.lit(1)).alias("hits"), F.sum(gain).alias("dcg"))
     sizes = held.groupBy("user").agg(F.count(F.lit(1)).alias("n_test"))

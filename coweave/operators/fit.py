@@ -5,24 +5,32 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import spread_join
 from ..functions.shared import written
+from ..functions.sums import exact_sum, limbs, numbered, ordered_sum, running_offsets
 from ..params import SolverParams
 from . import kernel
-from .gram import candidates, check_overflow, gram
-from .interactions import as_interactions, canonical, check_values, item_universe
+from .gram import candidates, gram, refuse_overflow
+from .interactions import as_interactions, item_universe, settled
 
 #: Most cells that are sent to every worker as one matrix (about 100 MB). Larger inputs are solved block by block.
 BROADCAST_CELLS = 4_000_000
-#: Candidate entries per block of targets on the blocked way.
-BLOCK_CANDIDATES = 50_000
+#: Cells of the Gram matrix per block of targets on the blocked way, and candidates of a target beyond which it is solved on a growing set.
+BLOCK_CELLS = 2_000_000
+WIDE = 1000
+#: Times that such a set may grow; a target that still wants more is stated as not converged.
+WIDE_ROUNDS = 100
+#: Rows under one id from which the rows are spread over several tasks where ids are replaced by codes.
+HOT_ROWS = 100_000
 
 
 class ConvergenceWarning(UserWarning):
@@ -90,11 +98,12 @@ class MatrixRows:
         return cand[keep], w[keep], passes, done
 
 
-def _solve_broadcast(x: DataFrame, universe: DataFrame, p: SolverParams) -> DataFrame:
+def _solve_broadcast(x: DataFrame, universe: DataFrame | None, p: SolverParams) -> DataFrame:
+    """The solve with the matrix in each worker; without ``universe`` the items that occur are solved."""
     spark = x.sparkSession
     table = x.select("user", "item", "value").toArrow().to_pandas()  # at most BROADCAST_CELLS rows, counted before
     kind = x.schema["item"].dataType
-    items = np.sort(universe.toArrow().to_pandas()["item"].to_numpy())
+    items = np.unique(table["item"].to_numpy()) if universe is None else np.sort(universe.toArrow().to_pandas()["item"].to_numpy())
     user, users = pd.factorize(table["user"], sort=True)
     item = np.searchsorted(items, table["item"].to_numpy())
     shared = spark.sparkContext.broadcast((MatrixRows(user, item, table["value"].to_numpy(), len(users), len(items)), items))
@@ -112,28 +121,48 @@ def _solve_broadcast(x: DataFrame, universe: DataFrame, p: SolverParams) -> Data
     return spark.range(len(items)).repartition(parts, "id").mapInArrow(run, _solution_schema(kind.simpleString()))
 
 
-def _solve_blocks(x: DataFrame, universe: DataFrame, p: SolverParams, integral: bool, block_candidates: int) -> DataFrame:
-    """The same solve with the Gram matrix as a table: each block of targets gets the entries among its candidates."""
-    entries = written(gram(x, integral), "gram")
-    cand = candidates(entries, p.lambd)
-    n_blocks = max(1, -(-cand.count() // block_candidates))
-    block = F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int")
-    wanted = cand.select(block.alias("block"), F.col("item"), F.col("neighbor"), F.col("p"))
-    need = wanted.select("block", F.col("neighbor").alias("k")).distinct()
-    rows = entries.select(F.col("item").alias("k"), F.col("neighbor").alias("j"), F.col("p").alias("q")).join(need, "k")
-    rows = rows.join(need.select("block", F.col("k").alias("j")), ["block", "j"], "left_semi")
+_EMPTY_COLUMNS = ("cast(array() as array<bigint>) as sources", "cast(array() as array<double>) as weights", "cast(0 as bigint) as n_passes", "true as converged")
+
+
+def _strongest(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Per item the ``most`` rows of greatest ``by``, smaller neighbor first among equals; ranked in hashed parts first, so no task sorts all rows of an item."""
+    best = F.col(by).desc(), F.col("neighbor")
+    part = F.pmod(F.xxhash64("neighbor"), F.lit(64))
+    some = rows.withColumn("_r", F.row_number().over(Window.partitionBy("item", part).orderBy(*best))).where(F.col("_r") <= most)
+    return some.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(*best))).where(F.col("_r") <= most).drop("_r")
+
+
+def _solve_within(active: DataFrame, entries: DataFrame, p: SolverParams, block_cells: int) -> DataFrame:
+    """Solutions of the targets in ``active`` (item, neighbor, p) over these candidates alone.
+
+    Targets are laid into blocks by a running sum of their cells, so a block holds at most ``block_cells`` cells of the Gram matrix
+    besides those of one target, and it gets the entries its targets ask for and no others.
+    """
+    active = written(active.select("item", "neighbor", "p"), "active")
+    sizes = active.groupBy("item").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("cells"))
+    blocks = running_offsets(written(sizes, "cells"), ["item"], "cells", "at").select("item", F.expr(f"at div {block_cells}").alias("block"))
+    wanted = written(active.join(blocks, "item"), "wanted")
+    one, two = wanted.select("block", "item", F.col("neighbor").alias("k")), wanted.select("item", F.col("neighbor").alias("j"))
+    cells = one.join(two, "item").where(F.col("k") <= F.col("j")).select("block", "k", "j").distinct()
+    half = entries.where(F.col("item") <= F.col("neighbor")).select(F.col("item").alias("k"), F.col("neighbor").alias("j"), F.col("p").alias("q"))
     # renamed: both sides of the cogroup stem from one frame
-    rows = rows.select(F.col("block").alias("of"), "k", "j", "q")
+    cells = cells.join(half, ["k", "j"]).select(F.col("block").alias("of"), "k", "j", "q")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         k, j, q = (right.column(c).to_numpy() for c in ("k", "j", "q"))
-        order = np.lexsort((j, k))
-        k, j, q = k[order], j[order], q[order]
-        names, starts = np.unique(k, return_index=True)
-        span = dict(zip(names.tolist(), zip(starts.tolist(), np.r_[starts[1:], len(k)].tolist(), strict=True), strict=True))
-        on = k == j
-        diag = dict(zip(k[on].tolist(), q[on].tolist(), strict=True))
         i, c, s = (left.column(n).to_numpy() for n in ("item", "neighbor", "p"))
+        names = np.unique(c)
+        key = np.searchsorted(names, k) * len(names) + np.searchsorted(names, j)
+        order = np.argsort(key)
+        key, q = key[order], q[order]
+
+        def entry(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Entries at places of ``names``, 0 where none is stored."""
+            want = np.minimum(x, y) * len(names) + np.maximum(x, y)
+            at = np.searchsorted(key, want)
+            at[at == len(key)] = 0
+            return np.where(key[at] == want, q[at], 0.0) if len(key) else np.zeros(len(want))
+
         order = np.lexsort((c, i))
         i, c, s = i[order], c[order], s[order]
         cuts = np.flatnonzero(np.diff(i)) + 1
@@ -141,43 +170,92 @@ def _solve_blocks(x: DataFrame, universe: DataFrame, p: SolverParams, integral:
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(i)], strict=True):
             if lo == hi:
                 continue
-            own = c[lo:hi]
-
-            def line(t: int, own: np.ndarray = own) -> np.ndarray:
-                a, b = span[int(own[t])]
-                full = np.zeros(len(own))
-                at = np.searchsorted(own, j[a:b])
-                at[at == len(own)] = 0
-                hit = own[at] == j[a:b]
-                full[at[hit]] = q[a:b][hit]
-                return full
-
-            w, passes, done = kernel.solve(s[lo:hi], np.array([diag.get(x, 0.0) for x in own.tolist()]), line, p.lambd, p.beta, p.max_iter, p.tol)
+            own = np.searchsorted(names, c[lo:hi])
+            line = lambda t, own=own: entry(np.full(len(own), own[t]), own)
+            w, passes, done = kernel.solve(s[lo:hi], entry(own, own), line, p.lambd, p.beta, p.max_iter, p.tol)
             keep = w > 0
-            out.append((int(i[lo]), own[keep], w[keep], passes, done))
+            out.append((int(i[lo]), c[lo:hi][keep], w[keep], passes, done))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.Table.from_batches([_rows(*map(list, cols), pa.int64())])
 
-    solved = wanted.groupBy("block").cogroup(rows.groupBy("of")).applyInArrow(run, _solution_schema("bigint"))
-    idle = universe.join(cand.select("item").distinct(), "item", "left_anti")
-    return solved.unionByName(
-        idle.select(
-            F.col("item").alias("target"),
-            F.array().cast("array<bigint>").alias("sources"),
-            F.array().cast("array<double>").alias("weights"),
-            F.lit(0).cast("bigint").alias("n_passes"),
-            F.lit(True).alias("converged"),
-        )
-    )
+    return wanted.groupBy("block").cogroup(cells.groupBy("of")).applyInArrow(run, _solution_schema("bigint"))
+
 
+def _entering(found: DataFrame, cand: DataFrame, entries: DataFrame, p: SolverParams) -> DataFrame:
+    """(item, neighbor, p, step): candidates without weight that would enter by ``tol`` or more, of the converged targets in ``found``."""
+    w = found.where("converged").select(F.col("target").alias("item"), F.explode_outer(F.arrays_zip("sources", "weights")).alias("z"))
+    w = written(w.select("item", F.col("z.sources").alias("source"), F.col("z.weights").alias("weight")), "wide-weights")
+    e, term = entries.select(F.col("item").alias("neighbor"), F.col("neighbor").alias("source"), "p"), F.col("p") * F.col("weight")
+    sizes = [df.agg(F.max(F.abs(c)).alias("hi"), F.min(F.when(c != 0, F.abs(c))).alias("lo"), F.count(F.lit(1)).alias("n")).first() for df, c in ((entries, F.col("p")), (w, F.col("weight")))]
+    joined = e.join(w.where("source is not null"), "source")
+    layout = limbs((sizes[0].hi or 0.0) * (sizes[1].hi or 0.0), (sizes[0].lo or 1.0) * (sizes[1].lo or 1.0), max(sizes[1].n, 1))
+    fitted = exact_sum(joined, ["item", "neighbor"], term, layout, "fit") if layout else ordered_sum(joined, ["item", "neighbor"], term, F.col("source"), "fit")
+    curvature = entries.where(F.col("item") == F.col("neighbor")).select("neighbor", (F.col("p") + p.beta).alias("curvature"))
+    rows = cand.join(w.select("item").distinct(), "item", "left_semi").join(w.select("item", F.col("source").alias("neighbor"), "weight"), ["item", "neighbor"], "left")
+    rows = rows.where("weight is null").join(fitted, ["item", "neighbor"], "left").join(curvature, "neighbor").where("curvature > 0")
+    step = (F.col("p") - F.coalesce("fit", F.lit(0.0)) - F.lit(p.lambd)) / F.col("curvature")
+    return rows.withColumn("step", step).where(F.col("step") >= p.tol).select("item", "neighbor", "p", "step")
 
-def _numbered(x: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items as ascending bigints for the blocked way: (x, dictionary)."""
-    book = written(universe.orderBy("item").withColumn("_id", F.monotonically_increasing_id()), "items")
-    return x.join(book, "item").select("user", F.col("_id").alias("item"), "value"), book
 
+def _solve_blocks(x: DataFrame, universe: DataFrame, p: SolverParams, integral: bool, block_cells: int = BLOCK_CELLS, wide: int = WIDE) -> DataFrame:
+    """The same solve with the Gram matrix as a table, for any number of cells.
 
-def solve(interactions: DataFrame, params: SolverParams, items: DataFrame | None = None, strategy: str = "auto", block_candidates: int = BLOCK_CANDIDATES) -> Solution:
+    A target of up to ``wide`` candidates is solved over all of them. One of more is solved over its ``wide`` strongest, then over
+    its positive weights and the ``wide`` candidates that most want to enter, until none does: the optimum is the same, and
+    no task ever holds all candidates squared. A task holds the square of a target's positive weights, though.
+    """
+    entries = written(gram(x, integral), "gram")
+    cand = candidates(entries, p.lambd)
+    sizes = written(cand.groupBy("item").agg(F.count(F.lit(1)).alias("m")), "candidates")
+    large = sizes.where(F.col("m") > wide).select("item")
+    n_large = large.count()
+    narrow = cand if not n_large else cand.join(large, "item", "left_anti")
+    solved = written(_solve_within(narrow, entries, p, block_cells), "solved")
+    if n_large:
+        broad = written(cand.join(large, "item", "left_semi"), "wide")
+        found = written(_solve_within(_strongest(broad, "p", wide), entries, p, block_cells), "wide-solved")
+        for no in count():
+            entering = written(_entering(found, broad, entries, p), "entering")
+            if not p.max_iter or entering.isEmpty():
+                break
+            if no == WIDE_ROUNDS:  # stated as not converged, like a target that runs out of passes
+                late = entering.select(F.col("item").alias("target"), F.lit(True).alias("_late")).distinct()
+                found = written(found.join(late, "target", "left").withColumn("converged", F.col("converged") & F.col("_late").isNull()).drop("_late"), "wide-solved")
+                break
+            again = entering.select("item").distinct()
+            z = found.select(F.col("target").alias("item"), F.explode("sources").alias("neighbor")).join(again, "item", "left_semi")
+            held = broad.join(z, ["item", "neighbor"], "left_semi").select("item", "neighbor", "p")
+            more = _strongest(entering, "step", wide).select("item", "neighbor", "p")
+            renewed = _solve_within(held.unionByName(more), entries, p, block_cells)
+            rest = found.join(again.withColumnRenamed("item", "target"), "target", "left_anti")
+            found = written(rest.unionByName(renewed), "wide-solved")
+        solved = solved.unionByName(found)
+    idle = universe.join(sizes, "item", "left_anti")
+    return solved.unionByName(idle.selectExpr("item as target", *_EMPTY_COLUMNS))
+
+
+def _coded(x: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``x`` with ascending bigints in place of the ids in ``column``, and the dictionary (id, code); no id is hashed."""
+    book = numbered(x.select(column).distinct(), [column], "_code")
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = x.groupBy(column).count().where(F.col("count") > HOT_ROWS)
+    others = [c for c in x.columns if c != column]
+    coded = spread_join(x, book, [column], hot, others, parts)
+    return coded.select(*(F.col("_code").alias(column) if c == column else F.col(c) for c in x.columns)), book
+
+
+def _named(raw: DataFrame, book: DataFrame) -> DataFrame:
+    """Solutions over codes with the items they stand for."""
+    one = raw.join(book.select(F.col("_code").alias("target"), F.col("item").alias("_target")), "target")
+    flat = one.select("_target", "n_passes", "converged", F.explode_outer(F.arrays_zip("sources", "weights")).alias("z"))
+    flat = flat.withColumn("_code", F.col("z.sources")).join(book, "_code", "left")
+    cell = F.when(F.col("item").isNotNull(), F.struct(F.col("item").alias("s"), F.col("z.weights").alias("w")))
+    # a list is as long as the positive weights of one target, which a task of the solve has held
+    lists = flat.groupBy(F.col("_target").alias("target")).agg(F.array_sort(F.collect_list(cell)).alias("c"), F.first("n_passes").alias("n_passes"), F.first("converged").alias("converged"))
+    return lists.select("target", F.col("c.s").alias("sources"), F.col("c.w").alias("weights"), "n_passes", "converged")
+
+
+def solve(interactions: DataFrame, params: SolverParams, items: DataFrame | None = None, strategy: str = "auto", block_cells: int = BLOCK_CELLS, wide: int = WIDE) -> Solution:
     """Weights and diagnostics for every item of the universe (``items``, or the items that occur).
 
     ``interactions`` is (user, item, value) in any state; it is checked and made canonical. ``strategy`` is 'broadcast'
@@ -187,32 +265,33 @@ def solve(interactions: DataFrame, params: SolverParams, items: DataFrame | None
     params = params.checked()
     if strategy not in ("auto", "broadcast", "blocked"):
         raise ValueError(f"strategy must be 'auto', 'broadcast' or 'blocked', got {strategy!r}")
-    facts = check_values(interactions)
-    x = written(canonical(interactions, integral=facts["integral"]), "interactions")
-    universe = item_universe(x, items)
+    x, facts = settled(interactions)
+    per_item = x.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * F.col("value")).alias("p"))
+    totals = per_item.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count(F.lit(1)).alias("items"), F.max("p").alias("p")).first()
+    refuse_overflow(totals.p)
+    n_items, universe = totals.items, None
     if items is not None:
+        universe = written(item_universe(x, items), "universe")
+        n_items = universe.count()
         stray = x.join(universe, "item", "left_anti").select("item").first()
         if stray is not None:
             raise ValueError(f"interactions hold item {stray.item}, which is not among the given items")
-    check_overflow(x)
     if strategy == "auto":
-        strategy = "broadcast" if x.count() <= BROADCAST_CELLS and universe.count() <= BROADCAST_CELLS else "blocked"
+        strategy = "broadcast" if totals.cells <= BROADCAST_CELLS and n_items <= BROADCAST_CELLS else "blocked"
     if strategy == "broadcast":
-        out = written(_solve_broadcast(x, universe, params), "solution")
-    elif x.schema["item"].dataType == T.LongType() and x.schema["user"].dataType == T.LongType():
-        out = written(_solve_blocks(x, universe, params, facts["integral"], block_candidates), "solution")
+        raw = _solve_broadcast(x, universe, params)
     else:
-        y, book = _numbered(x, universe)
-        y = y.withColumn("user", F.xxhash64("user")) if y.schema["user"].dataType != T.LongType() else y
-        raw = _solve_blocks(y, book.select(F.col("_id").alias("item")), params, facts["integral"], block_candidates)
-        named = raw.join(book.select(F.col("_id").alias("target"), F.col("item").alias("_target")), "target")
-        pairs = named.select("_target", "target", "n_passes", "converged", F.explode_outer(F.arrays_zip("sources", "weights")).alias("z"))
-        pairs = pairs.withColumn("_id", F.col("z.sources")).join(book, "_id", "left")
-        cell = F.struct(F.col("item").alias("s"), F.col("z.weights").alias("w"))
-        out = pairs.groupBy(F.col("_target").alias("target")).agg(
-            F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), cell))).alias("c"), F.first("n_passes").alias("n_passes"), F.first("converged").alias("converged")
-        )
-        out = written(out.select("target", F.col("c.s").alias("sources"), F.col("c.w").alias("weights"), "n_passes", "converged"), "solution")
+        universe = item_universe(x) if universe is None else universe
+        y, book = x, None
+        if x.schema["item"].dataType != T.LongType():
+            codes = universe.unionByName(x.select("item")).distinct()
+            book = numbered(written(codes, "items"), ["item"], "_code")
+            y, universe = x.join(book, "item").select("user", F.col("_code").alias("item"), "value"), universe.join(book, "item").select(F.col("_code").alias("item"))
+        if x.schema["user"].dataType != T.LongType():
+            y, _ = _coded(y, "user")
+        raw = _solve_blocks(y if y is x else written(y, "coded"), universe, params, facts.integral, block_cells, wide)
+        raw = raw if book is None else _named(raw, book)
+    out = written(raw, "solution")
     weights = out.select(F.explode(F.arrays_zip("sources", "weights")).alias("z"), "target").select(F.col("z.sources").alias("source"), "target", F.col("z.weights").alias("weight"))
     diagnostics = out.select(F.col("target").alias("item"), "n_passes", "converged")
     totals = diagnostics.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("converged")).alias("bad")).first()
@@ -222,9 +301,8 @@ def solve(interactions: DataFrame, params: SolverParams, items: DataFrame | None
 def warn_unconverged(s: Solution, p: SolverParams, stacklevel: int) -> None:
     if s.n_unconverged:
         warnings.warn(
-            f"{s.n_unconverged} of {s.n_items} items did not converge within max_iter={p.max_iter} passes (tol={p.tol}); "
-            "their weights are a truncated solution. Raise max_iter, or raise beta to improve conditioning; "
-            "the diagnostics name the items.",
+            f"{s.n_unconverged} of {s.n_items} items did not converge within max_iter={p.max_iter}: some weight could still move by "
+            f"tol={p.tol} or more. Look up these items in the diagnostics; more passes or a larger beta help.",
             ConvergenceWarning,
             stacklevel=stacklevel,
         )

@@ -38,30 +38,38 @@ def _ranking(history: str, k: int, exclude: bool) -> str:
 _COUNTING = "user_id is not null and item_id is not null and isfinite(val) and val > 0"
 _GRAM_COUNTS = "item_id is not null and neighbor_id is not null and neighbor_id <> item_id and isfinite(p) and p > 0"
 _SWEEPS = 1500
-_FIT = f"""with recursive {_x("brand", "raw")},
+
+
+def _fit(sweeps: int = _SWEEPS, lam: str = "2.0") -> str:
+    """Weights of the brands after so many sweeps of coordinate descent from zero, beta 2; ``lam`` is an expression over g."""
+    return f"""with recursive {_x("brand", "raw")},
  items as (select item, row_number() over (order by item) r from (select distinct item from raw)),
  xi as (select "user" u, r i, value v from raw join items using (item)),
  g as (select a.i i, b.i k, sum(a.v * b.v) p from xi a join xi b using (u) group by 1, 2),
  grid as (select a.r i, b.r k, coalesce(p, 0) p from items a cross join items b left join g on g.i = a.r and g.k = b.r),
  rws as (select i, list(p order by k) prow from grid group by i),
- allp as (select list(prow order by i) m, count(*) n from rws),
+ allp as (select list(prow order by i) m, count(*) n, (select {lam} {"from g" if "(" in lam else ""}) lam from rws),
  it as (
   select i t, 0 step, list_transform(range(1, n + 1), lambda z: 0.0::double) w from rws, allp
   union all
   select t, step + 1, list_transform(w, lambda wk, idx:
     case when idx <> (step % n) + 1 then wk when idx = t then 0.0
     else greatest(0.0, (m[t][idx] - list_sum(list_transform(w, lambda wj, j:
-      case when j = idx then 0.0 else wj * m[j][idx] end)) - 2.0) / (m[idx][idx] + 2.0)) end)
-  from it, allp where step < n * {_SWEEPS}),
- final as (select t, w from it where step = (select n * {_SWEEPS} from allp)),
+      case when j = idx then 0.0 else wj * m[j][idx] end)) - lam) / (m[idx][idx] + 2.0)) end)
+  from it, allp where step < n * {sweeps}),
+ final as (select t, w from it where step = (select n * {sweeps} from allp)),
+ slopes as (select t, k, m[k][k] + 2.0 as curvature, m[t][k] as p, w[k] as w, lam, m[t][k] - list_sum(list_transform(w, lambda wj, j: wj * m[j][k])) - lam - 2.0 * w[k] as slope
+   from final, allp, (select unnest(range(1, 1 + (select n from allp))) as k) where k <> t),
  weights as (select s.item as source, d.item as target, w[s.r] as weight from final join items d on d.r = t cross join items s where w[s.r] > 0)
 """
+
+
+_FIT = _fit()
 _NDCG = """
  hits as (select r."user", count(*) h, sum(1 / log2(rank + 2)) dcg from ranked r join test t on t."user" = r."user" and t.item = r.item where rank < 5 group by 1),
  held as (select "user", count(*) n from test group by 1),
  m as (select coalesce(h, 0) / 5.0 p, coalesce(h, 0)::double / n r, coalesce(dcg, 0) / list_sum(list_transform(range(0, least(n, 5)), lambda j: 1 / log2(j + 2))) g from held left join hits using ("user"))
 select round(coalesce(avg(p), 0), 6) as precision_at_k, round(coalesce(avg(r), 0), 6) as recall_at_k, round(coalesce(avg(g), 0), 6) as ndcg_at_k, count(*) as n_users from m"""
-_NUMBER = "cast(length(event_type) * 1000 + ascii(event_type) as bigint)"
 
 ORACLE = {
     "p1_found": f"""with x as (select distinct user_id, item_id from interactions where {_COUNTING}),
@@ -93,15 +101,20 @@ from interactions where {_COUNTING} group by item_id""",
     "source_ratings": "select user_id as \"user\", event_id as item, 1.0::double as value from events where value > 0",
     "recommend_topk": f'with {_x("supplier")}, {_g()}, {_scores("x", "40")}, {_ranking("x", 5, False)} select "user", rank, item, score from ranked',
     "recommend_fill": f'with {_x("brand")}, {_SPLIT}, {_g("train")}, {_scores("train", "50")}, {_ranking("train", 10, True)} select "user", rank, item, score from ranked',
-    "recommend_with_seen": f'with x as (select user_id as "user", {_NUMBER} as item, count(*)::double as value from events group by 1, 2), {_g()}, {_scores("x", "1")}, {_ranking("x", 3, True)} select "user", rank, item, score from ranked',
+    "recommend_with_seen": f'with x as (select user_id as "user", event_type as item, count(*)::double as value from events group by 1, 2), {_g()}, {_scores("x", "1")}, {_ranking("x", 3, True)} select "user", rank, item, score from ranked',
     "evaluate_ranked": f"with {_x('brand')}, {_SPLIT}, {_g('train')}, {_scores('train', '50')}, {_ranking('train', 5, True)}, {_NDCG}",
     "evaluate_scores": f"with {_x('brand')}, {_SPLIT}, {_g('train')}, {_scores('train', '50')}, dense as (select * from s where not exists (select 1 from train where train.\"user\" = s.\"user\" and train.item = s.item)), ranked as (select *, row_number() over (partition by \"user\" order by score desc, item) - 1 as rank from dense), {_NDCG}",
     "fit_weights_brand": f"{_FIT} select source, target, round(weight, 4) as weight from weights",
     "fit_weights_blocked": f"{_FIT} select source, target, round(weight, 4) as weight from weights",
-    "fit_diagnostics": f"with {_x('brand')} select distinct item, true as converged from x",
+    "fit_diagnostics": f"""{_fit(1, "floor(avg(p) filter (i <> k))")} select item, case when count(*) filter (p >= lam) > 0 then 1 else 0 end as n_passes,
+ coalesce(bool_and(w < 0.002 and case when w > 0 then abs(slope) else greatest(slope, 0) end / curvature < 0.002) filter (p >= lam), true) as converged
+from slopes join items on r = t group by 1""",
     "fit_max_iter_zero": f"with {_x('brand')}, {_g()} select item, 0::bigint as n_passes, max(p) filter (item <> neighbor and p >= 2) is null as converged from g group by 1",
     "fit_huge_lambda": f"with {_x('brand')} select distinct item, 0::bigint as n_passes, true as converged from x",
-    "kkt_ok": f"with {_x('brand')} select distinct item as target, true as optimal from x",
+    "kkt_truncated": f"{_fit(1)} select item as target, round(max(case when w > 0 then abs(slope) else greatest(slope, 0) end), 3) as violation from slopes join items on r = t group by 1",
+    "gram_large_groups": f"""with r as (select c_nationkey as g, l_partkey as e, count(*)::double as v from {_LINES} join customer on c_custkey = o_custkey group by 1, 2),
+ p as (select a.e as a, b.e as b, count(*) as n, sum(a.v * b.v) as s from r a join r b using (g) where a.e < b.e group by 1, 2)
+select n, count(*) as pairs, sum(s) as total, sum(s * ((a * 31 + b) % 101)) as mixed from p group by 1""",
     "objective": f"""{_FIT}, gg as (select a.item i, b.item k, p from g join items a on a.r = g.i join items b on b.r = g.k),
  parts as (select i as target, p / 2 as part from gg where i = k
   union all select target, -weight * p from weights join gg on i = source and k = target

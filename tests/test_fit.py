@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from coweave import SLIM, ConvergenceWarning, NotFittedError, fit, fit_with_diagnostics
-from coweave.operators.fit import objective, optimality
+from coweave.operators.fit import objective, optimality, solve
+from coweave.params import SolverParams
 from coweave.sources.tables import from_coo, from_dense
 
 from .matrices import THREE_B, TINY, ill_conditioned, violation
@@ -40,6 +41,20 @@ def test_both_strategies_are_optimal_and_agree(spark, high, lambd, beta):
     assert found.where("violation > 1e-6").count() == 0 and found.count() == 20
 
 
+@pytest.mark.parametrize(("cells", "wide"), [(1, 1), (30, 3), (200, 8), (10**6, 5)])
+@pytest.mark.parametrize("high", [1.0, 5.0])
+def test_blocks_of_any_size_and_wide_targets_reach_the_optimum(spark, cells, wide, high):
+    """Targets of more candidates than ``wide`` are solved on a set that grows until nothing wants to enter."""
+    m = random_matrix(60, 16, 0.3, 4, high)
+    x, _, items = from_dense(spark, m)
+    s = solve(x, SolverParams(1.0, 0.5, 100_000, 1e-12), items, "blocked", cells, wide)
+    assert s.n_items == 16 and s.n_unconverged == 0
+    assert violation(m, weights(s.weights, 16), 1.0, 0.5) < 1e-6
+    assert np.allclose(weights(s.weights, 16), weights(fit(x, 1.0, 0.5, 100_000, 1e-12, items=items, strategy="broadcast"), 16), atol=1e-8)
+    none = solve(x, SolverParams(1.0, 0.5, 0), items, "blocked", cells, wide)
+    assert none.weights.count() == 0 and none.n_unconverged > 0
+
+
 def test_objective(spark):
     x, _, items = from_dense(spark, TINY)
     df = fit(x, 0.3, 0.4, tol=1e-12, items=items)
@@ -128,7 +143,7 @@ def test_estimator(spark, rows):
     model = SLIM(lambd=0.2, beta=0.2)
     assert repr(model) == "SLIM(lambd=0.2, beta=0.2)" and eval(repr(model)).get_params() == model.get_params()
     assert model.set_params(tol=1e-8) is model and model.get_params()["tol"] == 1e-8
-    with pytest.raises(ValueError, match="valid parameters are lambd, beta, max_iter, tol, n_threads"):
+    with pytest.raises(ValueError, match="no setting alpha; its settings are lambd, beta, max_iter, tol, n_threads"):
         model.set_params(alpha=1)
     x, _, items = from_dense(spark, TINY)
     for error in (NotFittedError, ValueError, AttributeError):

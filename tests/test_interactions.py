@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coweave.operators.gram import candidates, check_overflow, diagonal, gram, gram_row, off_diagonal
-from coweave.operators.interactions import as_interactions, binarise, canonical, check_values, holdout_split, item_universe, transpose, user_universe
+from coweave.operators.gram import candidates, diagonal, gram, gram_row, off_diagonal, refuse_overflow
+from coweave.operators.interactions import as_interactions, binarise, canonical, check_values, holdout_split, item_universe, settled, transpose, user_universe
 from coweave.sources.tables import from_coo, from_csr, from_dense, markdown, read_interactions, synthetic, write_result
 
 from .matrices import TINY
@@ -20,13 +20,18 @@ def test_cells_are_summed_and_zeros_dropped(spark, rows):
 
 
 def test_values_are_checked_before_they_are_summed(spark):
-    with pytest.raises(ValueError, match="non-negative.*user 0, item 1 is -1.0"):
+    with pytest.raises(ValueError, match="non-negative.*user 0 has -1.0 for item 1"):
         canonical(frame(spark, [(0, 1, -1.0), (0, 1, 2.0)]))
+    with pytest.raises(ValueError, match="non-negative.*user 0 has -1.0 for item 1"):
+        settled(frame(spark, [(0, 1, -1.0), (0, 1, 2.0)]))
     for bad in ("nan", "inf", "-inf"):
-        with pytest.raises(ValueError, match="finite values.*user 0, item 1"):
-            check_values(frame(spark, [(0, 1, float(bad)), (1, 1, -1.0)]))
-    with pytest.raises(ValueError, match="null"):
-        check_values(frame(spark, [(None, 1, 1.0)]))
+        for check in (check_values, settled):
+            with pytest.raises(ValueError, match=f"finite values.*user 0 has {bad} for item 1"):
+                check(frame(spark, [(0, 1, float(bad)), (0, 1, 1.0), (1, 1, -1.0)]))
+    for check in (check_values, settled):
+        for row in ((None, 1, 1.0), (1, None, 1.0), (1, 1, None)):
+            with pytest.raises(ValueError, match="null ids or values, but 1 do"):
+                check(frame(spark, [row, (2, 2, -1.0), (1, 1, 1.0)]))
     with pytest.raises(ValueError, match="not found"):
         as_interactions(frame(spark, []), item="thing")
 
@@ -37,6 +42,24 @@ def test_sums_do_not_depend_on_partitioning(spark):
     assert len(sums) == 1
 
 
+@pytest.mark.parametrize("signed", [False, True])
+def test_one_pass_gives_the_same_cells_and_facts(spark, rows, signed):
+    rng = np.random.default_rng(3)
+    for whole in (True, False):
+        values = rng.integers(0, 4, 60).astype(float) if whole else np.round(rng.uniform(0, 3, 60), 3)
+        values = values * rng.choice([-1, 1], 60) if signed else values
+        df = frame(spark, [(int(u), int(i), float(v)) for u, i, v in zip(rng.integers(0, 6, 60), rng.integers(0, 6, 60), values, strict=True)])
+        x, facts = settled(df, signed=signed)
+        plain = check_values(df, signed=signed)
+        assert (facts.rows, facts.integral) == (plain.rows, plain.integral) == (60, whole)
+        expected = {}
+        for r in df.collect():
+            expected[r.user, r.item] = expected.get((r.user, r.item), 0) + r.value
+        got = {(r.user, r.item): r.value for r in x.collect()}
+        assert got == pytest.approx({c: v for c, v in expected.items() if c in got}) and all(abs(v) < 1e-12 for c, v in expected.items() if c not in got)
+    assert settled(frame(spark, []))[0].count() == 0
+
+
 def test_names_universe_and_views(spark, rows):
     df = spark.createDataFrame([("u", "i", "x")], "who string, what string, value string")
     assert rows(as_interactions(df, "who", "what", None)) == [("u", "i", 1.0)]
@@ -75,6 +98,25 @@ def test_tiles_of_any_size_agree(spark, rows, block, least, max_group):
     assert rows(found) == sorted(((i, j, float(p[i, j]), n[i, j]) for i in range(23) for j in range(i, 23) if n[i, j] >= least), key=repr)
 
 
+@pytest.mark.parametrize(("block", "work", "dense"), [(2, 1, 1), (4, 10, 3), (64, 20, 1), (8, 10**8, 64)])
+def test_divided_tiles_and_sparse_blocks_agree(spark, monkeypatch, block, work, dense):
+    """A few large groups with popular elements; tiles are divided among tasks by group, fractional values included."""
+    from coweave.operators import copairs
+
+    monkeypatch.setattr(copairs, "DENSE_FROM", dense)
+    rng = np.random.default_rng(2)
+    m = (rng.random((50, 30)) < np.linspace(0.9, 0.05, 30)) * np.round(rng.uniform(0.1, 3, (50, 30)), 2)
+    x, _, _ = from_dense(spark, m)
+    p, n = m.T @ m, (m > 0).T.astype(int) @ (m > 0)
+    results = []
+    for parts in (1, 5):
+        found = copairs.pair_products(x.repartition(parts), "user", "item", "value", integral=False, max_group=6, block=block, work=work)
+        results.append({(r.a, r.b): (r.s, r.n) for r in found.collect()})
+    assert results[0] == results[1]
+    assert {k: v[1] for k, v in results[0].items()} == {(i, j): n[i, j] for i in range(30) for j in range(i + 1, 30) if n[i, j]}
+    assert all(v[0] == pytest.approx(p[k]) for k, v in results[0].items())
+
+
 def test_gram_of_unsorted_rows_with_gaps(spark, rows):
     x, users, items = from_csr(spark, [1, 2, 0.5, 1, 1, 3], [0, 1, 0, 2, 1, 0], [0, 3, 3, 5, 6], 4)
     x = canonical(x)
@@ -89,10 +131,11 @@ def test_products_that_vanish_are_not_stored(spark):
     assert sorted((r.item, r.neighbor) for r in p.collect()) == [(0, 2), (0, 3), (0, 4), (2, 0), (3, 0), (4, 0)]
 
 
-def test_overflow(spark):
+def test_overflow():
     with pytest.raises(ValueError, match="overflow"):
-        check_overflow(from_coo(spark, [0], [0], [1e200]))
-    check_overflow(from_coo(spark, [0], [0], [1e150]))
+        refuse_overflow(float("inf"))
+    refuse_overflow(1e300)
+    refuse_overflow(None)
 
 
 def test_sources(spark, tmp_path, rows):

@@ -33,9 +33,12 @@ def as_lists(df):
     return out
 
 
+@pytest.mark.parametrize("way", ["dense rows", "sparse rows", "join"])
 @pytest.mark.parametrize("exclude", [True, False])
 @pytest.mark.parametrize("signed", [False, True])
-def test_recommend_matches_a_dense_ranking(spark, exclude, signed):
+def test_recommend_matches_a_dense_ranking(spark, exclude, signed, way, monkeypatch):
+    if way == "join":
+        monkeypatch.setattr(scoring, "TABLE_WEIGHTS", 0)
     rng = np.random.default_rng(5)
     h = (rng.random((15, 12)) < 0.3) * rng.integers(1, 4, (15, 12))
     if signed:
@@ -43,9 +46,40 @@ def test_recommend_matches_a_dense_ranking(spark, exclude, signed):
     h[3], h[4] = 1, 0  # one user has seen everything, one nothing
     w = (rng.random((12, 12)) < 0.15) * rng.integers(1, 5, (12, 12))
     np.fill_diagonal(w, 0)
+    if way != "dense rows":  # many items that no weight reaches: lists are mostly fill
+        h, w = np.pad(h, ((0, 0), (0, 200))), np.pad(w, ((0, 200), (0, 200)))
     x, users, items = from_dense(spark, h)
-    found = recommend(weight_frame(spark, w), x, 8, exclude_seen=exclude, items=items, users=users)
-    assert as_lists(found) == ranked_dense(h.astype(float), w, 8, exclude)
+    for k in (8, 60):
+        found = recommend(weight_frame(spark, w), x, k, exclude_seen=exclude, items=items, users=users)
+        assert as_lists(found) == ranked_dense(h.astype(float), w, k, exclude)
+
+
+@pytest.mark.parametrize("table", [True, False])
+def test_fractional_scores_do_not_depend_on_partitioning(spark, rows, monkeypatch, table):
+    rng = np.random.default_rng(1)
+    h, w = (rng.random((30, 40)) < 0.4) * rng.uniform(0.1, 3, (30, 40)), (rng.random((40, 40)) < 0.5) * rng.uniform(1e-6, 1, (40, 40))
+    if not table:
+        monkeypatch.setattr(scoring, "TABLE_WEIGHTS", 0)
+    x, _, items = from_dense(spark, h)
+    results = [rows(recommend(weight_frame(spark, w).repartition(n), x.repartition(n), 10, items=items)) for n in (1, 5)]
+    assert results[0] == results[1]
+
+
+def test_weights_are_checked(spark):
+    x, _, items = from_dense(spark, TINY)
+    for row in ((0, 1, float("nan")), (0, 1, None), (None, 1, 1.0), (0, 1, float("inf"))):
+        with pytest.raises(ValueError, match="1 rows do not"):
+            recommend(spark.createDataFrame([row, (0, 2, 1.0)], "source bigint, target bigint, weight double"), x, 2)
+    stray = spark.createDataFrame([(0, 99, 5.0), (0, 2, 1.0)], "source bigint, target bigint, weight double")
+    assert 99 not in {r.item for r in recommend(stray, x, 4, items=items).collect()}
+
+
+def test_text_ids_are_ranked_too(spark):
+    x, _, items = from_dense(spark, TINY)
+    w = np.triu(np.ones((4, 4)), 1) + np.tril(np.full((4, 4), 0.5), -1)
+    named = weight_frame(spark, w).selectExpr("concat('i', source) as source", "concat('i', target) as target", "weight")
+    found = recommend(named, x.selectExpr("concat('u', user) as user", "concat('i', item) as item", "value"), 3)
+    assert {u: [int(i[1:]) for i in v] for u, v in as_lists(found).items()} == {f"u{u}": v for u, v in ranked_dense(TINY, w, 3, True).items()}
 
 
 def test_ties_fill_and_clip(spark):
@@ -77,9 +111,13 @@ def test_predict(spark, rows, monkeypatch):
         assert s == -np.inf if TINY[u, i] else s == pytest.approx(expected[u, i])
     sparse = predict(weight_frame(spark, w), x, exclude_seen=False)
     assert {(r.user, r.item): pytest.approx(r.score) for r in sparse.collect()} == {(u, i): expected[u, i] for u in range(6) for i in range(4) if expected[u, i]}
+    monkeypatch.setattr(scoring, "TABLE_WEIGHTS", 1)
+    joined = [rows(predict(weight_frame(spark, w), x, exclude_seen=False))]
     monkeypatch.setattr(scoring, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(scoring, "HOT_ROWS", 2)
-    assert rows(predict(weight_frame(spark, w), x, exclude_seen=False)) == rows(sparse)  # the shuffled, spread join
+    joined.append(rows(predict(weight_frame(spark, w), x, exclude_seen=False)))  # the shuffled, spread join
+    assert joined[0] == joined[1] and [r[:2] for r in joined[0]] == [r[:2] for r in rows(sparse)]
+    assert np.allclose([r[2] for r in joined[0]], [r[2] for r in rows(sparse)], rtol=1e-14)
     parts = explain(weight_frame(spark, w), x, sparse).groupBy("user", "item").sum("part")
     assert {(r[0], r[1]): pytest.approx(r[2]) for r in parts.collect()} == {(r.user, r.item): r.score for r in sparse.collect()}
 
@@ -117,6 +155,12 @@ def test_metrics_of_scores_and_bad_ids(spark):
     scores = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate([2, 1, 0, 3, 0])], "user bigint, item bigint, score double")
     assert metrics.precision_at_k(scores, from_coo(spark, [0, 0], [1, 3]), 2, items=items) == 0.5
     test = from_coo(spark, *zip(*HELD, strict=True))
+    for bad, message in (([(0, 9, 1.0)], "outside"), ([(0, 1, 1.0), (0, 1, 2.0)], "twice"), ([(0, 1, float("nan"))], "NaN"), ([(0, 1, None)], "null"), ([(0, None, 1.0)], "null")):
+        with pytest.raises(ValueError, match=message):
+            evaluate(spark.createDataFrame(bad, "user bigint, item bigint, score double"), test, 2, items=items)
+    assert evaluate(scores, test, 2, items=items, complete=True).first().n_users == 2
+    with pytest.raises(ValueError, match="score 4 of 5 items for user 0"):
+        evaluate(scores.where("item <> 2"), test, 2, items=items, complete=True)
     for lists, message in (({0: [5, 0, 1]}, "outside"), ({0: [-5, 0, 1]}, "outside"), ({0: [3, 3, 1]}, "repeats"), ({0: [3, 1]}, "at least k=3")):
         with pytest.raises(ValueError, match=message):
             evaluate(ranked(spark, lists), test, 3, items=items)
@@ -126,6 +170,21 @@ def test_metrics_of_scores_and_bad_ids(spark):
         evaluate(ranked(spark, RANKED), test, 3, users=spark.range(1).toDF("user"))
 
 
+def test_held_out_users_without_history_count(spark):
+    from coweave.params import SolverParams
+    from coweave.plans import compare
+
+    rng = np.random.default_rng(4)
+    x, _, _ = from_dense(spark, (rng.random((60, 12)) < 0.08).astype(float))
+    train, test = compare.random_split(x, 0.8, 42)
+    users = {r.user for r in test.select("user").distinct().collect()}
+    assert users - {r.user for r in train.select("user").distinct().collect()}  # some have all their items held out
+    w = fit(train, 0.1, 0.1)
+    found = evaluate(recommend(w, train, 3, users=test.select("user").distinct()), test, 3).first()
+    assert found.n_users == len(users)
+    assert compare.compare(x, SolverParams(0.1, 0.1, 5), 3, baseline=False)[0]["precision@3"] == pytest.approx(found.precision_at_k)
+
+
 def test_comparison_of_models(spark):
     from coweave.params import SolverParams
     from coweave.plans.compare import compare
