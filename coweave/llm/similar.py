@@ -1,15 +1,16 @@
-"""All similar pairs between set-valued records: a forest of minhash sketches, then an exact check.
+"""All similar pairs between set-valued records: sorted sketch forests, then an exact check.
 
-Each set gets, in each of many independent trees, a signature of three minhash values. Two sets become candidates if some
-tree has them in one prefix neighbourhood of the depth that both of them need, and every pair that reaches the threshold
-does so with the target recall: a set's depth is the deepest at which the least similarity it can have to a true partner
-still meets that recall in this number of trees. Depths are computed in advance and neighbourhoods are found by an equality
-join on prefixes; nothing is sorted or deepened step by step.
+Each set gets, in each of many independent trees, a signature of three minhash values. The signatures are sorted by
+(tree, first value, second, third), so sets whose signatures begin alike lie side by side. Neighbourhoods of a common prefix
+are compared along this order, those of the longest prefix first, and a set takes part down to the prefix at which its
+pairs are found with the target recall. That depth is measured: partners that just reach the least similarity a true
+partner can have are planted for a bounded sample of sets, and prefixes get shorter until enough of them are met.
 
 Values that very many sets hold ("hubs") would put unrelated sets side by side. Sketches are drawn from the other values,
 and a set's least similarity there follows from its size and its number of hubs; only sets so full of hubs that
-nothing can be promised go to a second forest over all their values, as deep as the threshold itself allows. Exact copies are sketched once and put back at the end.
-No cap on neighbourhoods or candidates: large neighbourhoods are spread over tasks in tiles.
+nothing can be promised go to a second forest over all their values. So no value and no prefix brings more than HUB sets
+together in the first forest; neighbourhoods of the second are spread over tasks in tiles. Exact copies are sketched once
+and put back at the end. There is no cap on neighbourhoods or candidates, and every candidate is checked exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from math import ceil, comb
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,20 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import BROADCAST_ROWS, broadcast_if_small, spread_join
 from ..functions.shared import written
+from ..operators.score import parallel
 
 TREES = 40
 DEPTH = 3
 RECALL = 0.9998
 #: A value held by more sets than this is a hub.
 HUB = 256
-#: Sets of a prefix neighbourhood beyond which it is compared in tiles.
+#: Sets of a prefix neighbourhood of the second forest beyond which it is compared in tiles.
 TILE = 512
+#: Sets that partners are planted for, and the most values of such a set.
+SAMPLE = 2000
+SAMPLE_VALUES = 400
+#: Width of the bands of least similarity that depths are measured for.
+BAND = 0.02
 
 
 def missed(similarity: float, depth: int, trees: int) -> float:
@@ -66,17 +73,6 @@ def least_similarity(n: int, hubs: int, threshold: float, min_size: int) -> floa
     return worst
 
 
-@lru_cache(maxsize=1000)
-def least_agreeing(similarity: float, trees: int = TREES, risk: float = 1e-5) -> int:
-    """Largest number of trees that agree on the first value in all but ``risk`` of pairs of this similarity."""
-    total = 0.0
-    for k in range(trees + 1):
-        total += comb(trees, k) * similarity**k * (1 - similarity) ** (trees - k)
-        if total > risk:
-            return k
-    return trees
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64 bits of each value, well spread (the finaliser of splitmix64)."""
     x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -112,12 +108,59 @@ def _packed(minima: np.ndarray) -> np.ndarray:
     return (m[:, :, 0] << np.uint64(32)) | ((m[:, :, 1] & np.uint64(0xFFFF)) << np.uint64(16)) | (m[:, :, 2] & np.uint64(0xFFFF))
 
 
-_RAW = "e bigint, n bigint, hubs bigint, rare binary, every binary"
-_SKETCH = "e bigint, n bigint, depth int, least double, rare binary, every binary"
+def _prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common leading values (0 to 3) of packed signatures."""
+    different = x ^ y
+    return (different >> np.uint64(32) == 0).astype(np.int64) * (1 + (different >> np.uint64(16) == 0) * (1 + (different == 0).astype(np.int64)))
+
+
+def band(least: float) -> float:
+    """The lower end of the band that a least similarity falls into."""
+    return int(least / BAND + 1e-9) * BAND
 
 
-def _raw_sketches(sets: DataFrame, trees: int) -> DataFrame:
-    """Sketch minima per run of equal (e, salt) in ``sets`` (e, v, hub, salt), which is partitioned and sorted by these."""
+def measured_depths(samples: dict[float, list[np.ndarray]], trees: int, recall: float = RECALL) -> dict[float, int]:
+    """Depth per band: the deepest prefix at which planted partners are met with the target recall, never deeper than the formula allows.
+
+    For each sampled set a partner of the same size is made up that shares as few values as the band's lower end
+    allows. The share of trees in which the two agree on a prefix, less three standard errors, gives the recall of the
+    forest. Starting from the whole signature the prefix gets shorter until that meets the target; 0 if it never does.
+    """
+    a, b = _hashes(trees)
+    depths = {}
+    for least, sets in samples.items():
+        draw = np.random.default_rng(7)
+        limit = depth_for(least, trees, recall)
+        depths[least] = limit
+        pairs = []
+        for values in sets:
+            n = len(values)
+            common = ceil(2 * n * least / (1 + least) - 1e-9)
+            if 0 < common <= n:
+                fresh = draw.integers(-(2**62), 2**62, n - common)
+                pairs.append((values, np.r_[draw.permutation(values)[:common], fresh]))
+        if not limit or not pairs:
+            continue
+        both = []
+        for side in (0, 1):
+            flat = np.concatenate([p[side] for p in pairs])
+            starts = np.r_[0, np.cumsum([len(p[side]) for p in pairs])[:-1]]
+            both.append(_packed(_minima(flat, np.ones(len(flat), bool), starts, a, b)))
+        common = _prefix(*both)
+        for depth in range(DEPTH, -1, -1):
+            share = float((common >= depth).mean())
+            sure = max(0.0, share - 3 * np.sqrt(share * (1 - share) / common.size))
+            if not depth or (depth <= limit and 1 - (1 - sure) ** trees >= recall):
+                depths[least] = depth
+                break
+    return depths
+
+
+_RAW = "e bigint, salt int, n bigint, hubs bigint, rare binary, every binary"
+
+
+def _pieces(sets: DataFrame, trees: int) -> DataFrame:
+    """Sketch minima per run of rows of equal (e, salt) in ``sets`` (e, salt, v, hub), read in the order they were written in: a set may give several pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hashes(trees)
@@ -127,21 +170,14 @@ def _raw_sketches(sets: DataFrame, trees: int) -> DataFrame:
             return (x[0], x[1], x[2] + y[2], x[3] + y[3], np.minimum(x[4], y[4]), np.minimum(x[5], y[5]))
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[3] for r in rows], pa.int64()),
-                    pa.array([r[4].tobytes() for r in rows], pa.binary()),
-                    pa.array([r[5].tobytes() if r[3] else None for r in rows], pa.binary()),
-                ],
-                names=["e", "n", "hubs", "rare", "every"],
-            )
+            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+            cols += [pa.array([r[4].tobytes() for r in rows], pa.binary()), pa.array([r[5].tobytes() if r[3] else None for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["e", "salt", "n", "hubs", "rare", "every"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            e, v, hub, salt = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            e, salt, v, hub = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             hub = hub.astype(bool)
             starts = np.r_[0, np.flatnonzero((np.diff(e) != 0) | (np.diff(salt) != 0)) + 1]
             rare = _minima(v, ~hub, starts, a, b)
@@ -168,142 +204,136 @@ def _raw_sketches(sets: DataFrame, trees: int) -> DataFrame:
     return sets.mapInArrow(run, _RAW)
 
 
-def _finished(raw: DataFrame, threshold: float, min_size: int, trees: int) -> DataFrame:
-    """Packed sketches with the depth of each set: 0 stands for the forest over all values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            e, n, hubs, rare, every = batch.columns
-            least = [least_similarity(x, h, threshold, min_size) for x, h in zip(n.to_pylist(), hubs.to_pylist(), strict=True)]
-            depth = [depth_for(s, trees) for s in least]
-            pack = lambda blobs: _packed(np.frombuffer(b"".join(blobs), np.uint32).reshape(len(blobs), -1))
-            small = [x.tobytes() for x in pack(rare.to_pylist())]
-            needs = [k for k, d in enumerate(depth) if not d]
-            full: list[bytes | None] = [None] * len(depth)
-            if needs:
-                blobs = every.to_pylist()
-                for k, x in zip(needs, pack([blobs[k] for k in needs]), strict=True):
-                    full[k] = x.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [e, n, pa.array(depth, pa.int32()), pa.array(least, pa.float64()), pa.array(small, pa.binary()), pa.array(full, pa.binary())],
-                names=["e", "n", "depth", "least", "rare", "every"],
-            )
-
-    return raw.mapInArrow(run, _SKETCH)
-
-
-def sketches(sets: DataFrame, threshold: float, min_size: int, trees: int = TREES) -> DataFrame:
-    """(e, n, depth, least, rare, every) of the sets in rows (e, v, hub). Sets of more than a quarter of a task's rows are sketched in parts."""
-    spark = sets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = sets.groupBy("e").agg(F.count(F.lit(1)).alias("m"))
-    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first().m
-    hot = sizes.where(F.col("m") > max(1000, total // (4 * parts))).select("e")  # at most 4 * parts sets
-    laid = lambda rows, salt: rows.select("e", "v", "hub", salt.alias("salt")).repartition(parts, "e", "salt").sortWithinPartitions("e", "salt")
-    light = _raw_sketches(laid(sets.join(F.broadcast(hot), "e", "left_anti"), F.lit(0)), trees)
-    heavy = sets.join(F.broadcast(hot), "e", "left_semi")
-    pieces = _raw_sketches(laid(heavy, F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")), trees)
+def sketches(sets: DataFrame, trees: int = TREES) -> DataFrame:
+    """(e, n, hubs, rare, every) of the sets in rows (e, salt, v, hub), written: pieces of a set, at most a few per task, are merged."""
+    pieces = written(_pieces(sets, trees), "pieces")
+    several = written(pieces.groupBy("e").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("e"), "several")
+    n_several = several.count()
 
     def merge(t: pa.Table) -> pa.Table:
-        """Pieces of one set, at most one per partition."""
-        rare = np.frombuffer(b"".join(t.column("rare").to_pylist()), np.uint32).reshape(t.num_rows, -1).min(axis=0)
-        every = np.frombuffer(b"".join(x or r for x, r in zip(t.column("every").to_pylist(), t.column("rare").to_pylist(), strict=True)), np.uint32)
-        n, hubs = sum(t.column("n").to_pylist()), sum(t.column("hubs").to_pylist())
-        return pa.table(
-            {
-                "e": t.column("e").slice(0, 1),
-                "n": pa.array([n], pa.int64()),
-                "hubs": pa.array([hubs], pa.int64()),
-                "rare": pa.array([rare.tobytes()], pa.binary()),
-                "every": pa.array([every.reshape(t.num_rows, -1).min(axis=0).tobytes()], pa.binary()),
-            }
-        )
-
-    raw = light.unionByName(pieces.groupBy("e").applyInArrow(merge, _RAW))
-    return _finished(raw, threshold, min_size, trees)
-
-
-def _tree_rows(found: DataFrame, trees: int, full_depth: int) -> DataFrame:
-    """(k, rest, e, n, depth): a set's place in each tree. k is the tree with the first value, or in the second forest the prefix of ``full_depth`` values."""
-    # bits of a packed signature that hold its first full_depth values
-    prefix = np.uint64(2**64 - 2 ** (16 * (DEPTH - full_depth)))
+        width = len(t.column("rare")[0].as_py())
+        low = lambda blobs: np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, width // 4).min(axis=0).tobytes()
+        rare = t.column("rare").to_pylist()
+        every = [x or r for x, r in zip(t.column("every").to_pylist(), rare, strict=True)]
+        n, hubs = (sum(t.column(c).to_pylist()) for c in ("n", "hubs"))
+        return pa.table({"e": t.column("e").slice(0, 1), "salt": pa.array([0], pa.int32()), "n": [n], "hubs": [hubs], "rare": [low(rare)], "every": [low(every) if hubs else None]}, schema=t.schema)
+
+    if not n_several:
+        return pieces.drop("salt")
+    several = broadcast_if_small(several, n_several)
+    joint = pieces.join(several, "e", "left_semi").groupBy("e").applyInArrow(merge, _RAW)
+    return written(pieces.join(several, "e", "left_anti").unionByName(joint).drop("salt"), "sketches")
+
+
+def _sampled_depths(found: DataFrame, sets: DataFrame, threshold: float, min_size: int, trees: int) -> dict[float, int]:
+    """Measured depths of the bands of least similarity that occur, from a bounded sample of sets: those of smallest hash."""
+    sizes = found.groupBy("n", "hubs").agg(F.count(F.lit(1)).alias("m"))
+    kind = sizes.where(F.col("n") <= SAMPLE_VALUES).orderBy(F.xxhash64("n", "hubs")).limit(SAMPLE)  # kinds of sets, so that rare bands are met too
+    some = found.join(F.broadcast(kind.select("n", "hubs")), ["n", "hubs"], "left_semi").orderBy(F.xxhash64("e"), "e").limit(SAMPLE).select("e", "n", "hubs")
+    # at most SAMPLE sets of SAMPLE_VALUES values
+    rows = sets.join(F.broadcast(some), "e").groupBy("e", "n", "hubs").agg(F.collect_list(F.when(~F.col("hub"), F.col("v"))).alias("v")).orderBy("e").collect()
+    samples: dict[float, list[np.ndarray]] = {band(threshold): []}
+    for r in rows:
+        values = np.array(r.v, dtype=np.int64)
+        samples[band(threshold)].append(values)
+        samples.setdefault(band(least_similarity(r.n, r.hubs, threshold, min_size)), []).append(values)
+    return measured_depths(samples, trees)
+
+
+def _forest(found: DataFrame, depths: dict[float, int], threshold: float, min_size: int, trees: int) -> DataFrame:
+    """(k, prefix, rest, e, n, depth): a set's place in each tree. k is the tree and the first value; rest holds the other two.
+
+    ``prefix`` is 0 in the first forest; in the second it is ``rest`` down to the depth used there, as nothing shorter is compared.
+    """
+    full_depth = depths[band(threshold)]
+    beyond = np.uint64(2 ** (16 * (DEPTH - full_depth)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = np.arange(trees, dtype=np.uint64)
+        def place(e: np.ndarray, n: np.ndarray, depth: np.ndarray, packed: np.ndarray, second: bool) -> pa.RecordBatch:
+            """All rows of these sets; a tree without value (a set of hubs alone) has no place for them."""
+            some = (packed >> np.uint64(32)) != np.uint64(0xFFFFFFFF) if not second else np.ones(packed.shape, bool)
+            tree = np.arange(trees, dtype=np.uint64)[None, :] + np.uint64(trees if second else 0)
+            k = (tree << np.uint64(32)) | (packed >> np.uint64(32))
+            rest = packed & np.uint64(0xFFFFFFFF)
+            prefix = rest & ~beyond if second else np.zeros_like(rest)
+            whole = lambda x: x[some].astype(np.uint32).view(np.int32)
+            wide = lambda x: np.repeat(x, trees).reshape(len(x), trees)[some]
+            cols = [k[some].view(np.int64), whole(prefix), whole(rest), wide(e), wide(n), wide(depth).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "prefix", "rest", "e", "n", "depth"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            e, n, depth = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for lo in range(0, len(e), 1000):
-                cut = slice(lo, lo + 1000)
-                blobs = batch.column(4).slice(lo, 1000).to_pylist()
-                packed = np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), trees)
-                some = (packed >> np.uint64(32)) != np.uint64(0xFFFFFFFF)  # a set of hubs alone has no place here
-                yield place(e[cut], n[cut], np.maximum(depth[cut], 1), packed, (tree[None, :] << np.uint64(32)) | (packed >> np.uint64(32)), some)
-                full = batch.column(5).slice(lo, 1000).to_pylist()
-                at = [k for k, x in enumerate(full) if x is not None]
-                if at:
-                    packed = np.frombuffer(b"".join(full[k] for k in at), np.uint64).reshape(len(at), trees)
-                    key = _mixed((packed & prefix) ^ (tree[None, :] * np.uint64(0xD1342543DE82EF95))) | np.uint64(1 << 63)
-                    yield place(e[cut][at], n[cut][at], np.full(len(at), full_depth), packed, key, np.ones(packed.shape, bool))
-
-        return
-
-    def place(e: np.ndarray, n: np.ndarray, depth: np.ndarray, packed: np.ndarray, key: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
-        wide = lambda x: np.repeat(x, trees).reshape(len(x), trees)[some]
-        rest = (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-        cols = [key[some].view(np.int64), rest[some], wide(e), wide(n), wide(depth).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "rest", "e", "n", "depth"])
-
-    return found.mapInArrow(run, "k bigint, rest int, e bigint, n bigint, depth int")
-
-
-def _neighbours(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: sets in one prefix neighbourhood of the depth that both need, of sizes that allow the threshold."""
-    spark = rows.sparkSession
-    crowded = rows.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE).select("k", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    crowded = written(crowded, "crowded")
-    n_crowded = crowded.count()
-    flat = rows if not n_crowded else rows.join(broadcast_if_small(crowded.select("k"), n_crowded), "k", "left_anti")
+            for lo in range(0, batch.num_rows, 1000):
+                e, n, hubs, rare, every = batch.slice(lo, 1000).columns
+                least = [least_similarity(x, h, threshold, min_size) for x, h in zip(n.to_pylist(), hubs.to_pylist(), strict=True)]
+                depth = np.array([depths[band(s)] if band(s) in depths else depth_for(band(s), trees) for s in least])
+                signature = lambda blobs: _packed(np.frombuffer(b"".join(blobs), np.uint32).reshape(len(blobs), -1))
+                names, sizes = e.to_numpy(), n.to_numpy()
+                yield place(names, sizes, np.maximum(depth, 1), signature(rare.to_pylist()), False)
+                lost = np.flatnonzero(depth == 0)
+                if len(lost):
+                    all_of, rare_of = every.to_pylist(), rare.to_pylist()
+                    yield place(names[lost], sizes[lost], np.full(len(lost), full_depth), signature([all_of[k] or rare_of[k] for k in lost]), True)
 
-    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        a = left.select(*on, F.col("e").alias("a"), F.col("n").alias("na"), F.col("depth").alias("da"), F.col("rest").alias("ra"))
-        b = right.select(*on, F.col("e").alias("b"), F.col("n").alias("nb"), F.col("depth").alias("db"), F.col("rest").alias("rb"))
-        second = F.shiftrightunsigned(F.col("ra").bitwiseXOR(F.col("rb")), 16) == 0
-        common = F.when(F.col("ra") == F.col("rb"), 3).when(second, 2).otherwise(1)
-        sizes = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-        return a.join(b, on).where(sizes & (common >= F.greatest("da", "db")))
+    return found.select("e", "n", "hubs", "rare", "every").mapInArrow(run, "k bigint, prefix int, rest int, e bigint, n bigint, depth int")
 
-    pairs = met(flat, flat, ["k"]).where(F.col("a") < F.col("b")).select("a", "b")
-    if n_crowded:
-        inside = rows.join(broadcast_if_small(crowded, n_crowded), "k").withColumn("own", F.pmod(F.xxhash64("e"), F.col("tiles")).cast("int"))
-        inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tile = inside.withColumn("t1", F.least("own", "other")).withColumn("t2", F.greatest("own", "other"))
-        # a tile holds two blocks of about TILE sets; pairs inside a block belong to the tile of that block alone
-        crossing = met(tile.where("own = t1"), tile.where("own = t2"), ["k", "t1", "t2"])
-        crossing = crossing.where((F.col("t1") != F.col("t2")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.unionByName(crossing)
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).select("a", "b")
 
+def _neighbours(forest: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: sets in one prefix neighbourhood of the depth that both need, of sizes that allow the threshold.
 
-def _promising(pairs: DataFrame, found: DataFrame, trees: int) -> DataFrame:
-    """Pairs of which as many trees agree on the first value as a true pair needs (in all but one in 100,000)."""
-    side = lambda x: found.select(F.col("e").alias(x), F.col("rare").alias(f"r{x}"), F.col("least").alias(f"l{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", F.greatest("la", "lb").alias("least"))
+    The forest is sorted over all tasks by (tree, first value, other values); sets of one first value are in one task.
+    """
+    parts = parallel(forest.sparkSession)
+    second = F.col("prefix") != 0
+    crowded = forest.where(second).groupBy("k", "prefix").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE)
+    crowded = written(crowded.select("k", "prefix", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "crowded")
+    n_crowded = crowded.count()
+    rows = forest.withColumn("tile", F.lit(0)).withColumn("side", F.lit(0))
+    if n_crowded:
+        marked = forest.join(broadcast_if_small(crowded, n_crowded), ["k", "prefix"], "left")
+        own = F.pmod(F.xxhash64("e"), F.col("tiles")).cast("int")
+        marked = marked.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
+        # a tile holds two blocks of about TILE sets; pairs inside a block belong to the tile of that block alone
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        number = low * F.coalesce("tiles", F.lit(1)) + high
+        rows = marked.withColumn("tile", number.cast("int")).withColumn("side", F.when(low == high, 0).otherwise(F.when(F.col("own") == low, 1).otherwise(2)))
+    rows = rows.select("k", "prefix", "tile", "rest", "e", "n", "depth", "side")
+    ordered = rows.repartitionByRange(parts, "k", "prefix", "tile").sortWithinPartitions("k", "prefix", "tile", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # rows of the neighbourhood that may go on in the next batch
+
+        def pairs(cols: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows at a growing distance in the order are compared, as long as they share their first value."""
+            _, _, _, rest, e, n, depth, side = cols
+            rest = rest.view(np.uint32)
+            at, distance = np.arange(len(e)), 1
+            while len(at := at[at + distance < ends[at]]):
+                x, y = at, at + distance
+                different = rest[x] ^ rest[y]
+                common = 1 + (different < 65536) * (1 + (different == 0).astype(np.int64))
+                keep = (common >= np.maximum(depth[x], depth[y])) & (n[x] >= threshold * n[y] - 1e-9) & (n[y] >= threshold * n[x] - 1e-9)
+                keep &= (side[x] != side[y]) | (side[x] == 0)
+                if keep.any():
+                    a, b = e[x[keep]], e[y[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                distance += 1
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, trees) >> np.uint64(32) for k in (2, 3))
-            agree = ((x == y) & (x != np.uint64(0xFFFFFFFF))).sum(axis=1)
-            need = np.array([least_agreeing(round(s, 6), trees) if s > 0 else 0 for s in batch.column(4).to_pylist()])
-            at = pa.array(np.flatnonzero(agree >= need))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+            cols = [batch.column(c).to_numpy() for c in range(8)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            cuts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            done = int(cuts[-1]) if len(cuts) else 0
+            held = [c[done:] for c in cols]
+            if done:
+                starts = np.r_[0, cuts[:-1]]
+                yield from pairs([c[:done] for c in cols], np.repeat(cuts, np.diff(np.r_[starts, done])))
+        if held is not None and len(held[0]):
+            yield from pairs(held, np.full(len(held[0]), len(held[0])))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 @dataclass(frozen=True)
@@ -320,9 +350,13 @@ class SimilarSets:
         one = self.links.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
         # a class and itself: its copies are similar to each other
         one = one.unionByName(self.copies.select(F.col("class").alias("ca"), F.col("class").alias("cb")))
+        parts = parallel(one.sparkSession)
+        hot = self.copies.where(F.col("m") > 1000)  # the members of a large class are spread over tasks
         left = self.classes.select(F.col("class").alias("ca"), F.col("e").alias("x"))
         right = self.classes.select(F.col("class").alias("cb"), F.col("e").alias("y"))
-        full = one.join(left, "ca").join(right, "cb").where((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y")))
+        some = spread_join(left, one, ["ca"], hot.select(F.col("class").alias("ca")), ["x"], parts)
+        full = spread_join(right, some, ["cb"], hot.select(F.col("class").alias("cb")), ["y"], parts)
+        full = full.where((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y")))
         return full.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -332,15 +366,20 @@ def similar_sets(rows: DataFrame, element: str, value: str, threshold: float = 0
     Both columns are bigint; nulls in either are left out, repeated rows count once, other columns are ignored, an empty
     table gives nothing. Sets of fewer than ``min_size`` values do not take part. Every returned link is checked
     exactly; a true one is missed with a chance of at most 1 in 5,000 at the threshold itself, far less above it. A threshold
-    too low for that in this number of trees (below about 0.19 in 40) is a ValueError.
+    too low for that in this number of trees (below about 0.21 in 40) is a ValueError.
     """
-    full_depth = depth_for(threshold, trees)
-    if not full_depth:
+    if not depth_for(band(threshold), trees):
         raise ValueError(f"threshold {threshold} is too low for a recall of {RECALL} in {trees} trees")
     base = rows.select(F.col(element).alias("e"), F.col(value).alias("v")).where(F.col("e").isNotNull() & F.col("v").isNotNull())
-    base = written(base.distinct(), "memberships")
     spark = base.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parallel(spark)
+    # one shuffle lays the values of a set side by side and drops repeated rows; the values of a hot set are spread
+    counts = written(base.groupBy("e").agg(F.count(F.lit(1)).alias("m")), "row-counts")
+    total = counts.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first().m
+    hot = counts.where(F.col("m") > max(1000, total // (4 * parts))).select("e", F.lit(True).alias("hot"))  # at most 4 * parts sets
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(parts))).otherwise(F.lit(0)).cast("int").alias("salt")
+    laid = base.join(F.broadcast(hot), "e", "left").select("e", salt, "v").repartition(parts, "e", "salt")
+    base = written(laid.dropDuplicates(["e", "salt", "v"]).sortWithinPartitions("e", "salt", "v"), "memberships")
     # the copies of a set agree in size and in two 64-bit checksums
     print_ = base.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("y"))
     print_ = written(print_.where(F.col("n") >= min_size), "prints")
@@ -366,11 +405,14 @@ def similar_sets(rows: DataFrame, element: str, value: str, threshold: float = 0
         sets = kept.join(F.broadcast(flag), "v", "left")
     else:
         sets = spread_join(kept, flag, ["v"], popular.where(F.col("m") > 100_000), ["e"], parts, "left")
-    sets = sets.select("e", "v", F.coalesce("hub", F.lit(False)).alias("hub"))
+    sets = sets.select("e", "salt", "v", F.coalesce("hub", F.lit(False)).alias("hub"))
+    if max(n_singles, n_popular) > BROADCAST_ROWS:  # the joins above have moved rows
+        sets = sets.repartition(parts, "e", "salt").sortWithinPartitions("e", "salt")
 
-    found = written(sketches(sets, threshold, min_size, trees), "sketches")
-    pairs = _promising(_neighbours(_tree_rows(found, trees, full_depth), threshold), found, trees)
-    pairs = written(pairs, "candidates")
+    found = sketches(sets, trees)
+    depths = _sampled_depths(found, sets, threshold, min_size, trees)
+    forest = written(_forest(found, depths, threshold, min_size, trees), "forest")
+    pairs = written(_neighbours(forest, threshold), "candidates")
 
     # exact check: the values of the smaller set, looked up in the larger one
     sized = lambda x: broadcast_if_small(singles, n_singles).select(F.col("e").alias(x), F.col("n").alias(f"n{x}"))
@@ -378,7 +420,7 @@ def similar_sets(rows: DataFrame, element: str, value: str, threshold: float = 0
     swap = F.col("na") > F.col("nb")
     todo = todo.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("e"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"), (F.col("na") + F.col("nb")).alias("sum"))
     wanted = todo.select("e").union(todo.select("other")).distinct()
-    values = base.join(wanted, "e", "left_semi")
+    values = base.select("e", "v").join(wanted, "e", "left_semi")
     hot = singles.where(F.col("n") > 100_000).select("e")
     lookup = spread_join(values, todo, ["e"], hot, ["v"], parts).select("e", "v", "other", "sum")
     there = values.select(F.col("e").alias("other"), "v")

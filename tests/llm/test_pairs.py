@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coweave.llm.overlap import contained, nearest_sets, overlaps
-from coweave.llm.similar import HUB, depth_for, least_agreeing, least_similarity, linked_sets, missed, similar_sets
+from coweave.llm.similar import HUB, band, depth_for, least_similarity, linked_sets, measured_depths, missed, similar_sets
 from coweave.llm.surprise import cooccurrence, fit_null, log_tail, size_class
 
 
@@ -157,4 +157,13 @@ def test_depths_keep_the_recall():
                     common = min(hubs, shared)
                     rest = n + m - shared - common
                     assert not rest or s <= (shared - common) / rest + 1e-9
-    assert least_agreeing(0.6) < 24 and least_agreeing(1.0) == 40
+
+
+def test_prefixes_get_shorter_until_planted_partners_are_met():
+    rng = np.random.default_rng(0)
+    sets = [rng.integers(0, 2**40, 30) for _ in range(300)]
+    depths = measured_depths({s: sets for s in (0.9, 0.6, 0.44, 0.3, 0.1)}, 40)
+    assert depths == {0.9: 3, 0.6: 3, 0.44: 1, 0.3: 1, 0.1: 0} or depths == {0.9: 3, 0.6: 3, 0.44: 2, 0.3: 1, 0.1: 0}
+    assert all(d <= depth_for(s) for s, d in depths.items())
+    assert measured_depths({0.6: []}, 40) == {0.6: 3}  # nothing to measure: the formula alone
+    assert band(0.6) == pytest.approx(0.6) and band(0.599) == pytest.approx(0.58)
