@@ -205,7 +205,7 @@ def _pieces(sets: DataFrame, trees: int) -> DataFrame:
 
 
 def sketches(sets: DataFrame, trees: int = TREES) -> DataFrame:
-    """(e, n, hubs, rare, every) of the sets in rows (e, salt, v, hub), written: pieces of a set, at most a few per task, are merged."""
+    """(e, n, hubs, rare, every) of the sets in rows (e, salt, v, hub), from written pieces; those of a set that has several are merged."""
     pieces = written(_pieces(sets, trees), "pieces")
     several = written(pieces.groupBy("e").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("e"), "several")
     n_several = several.count()
@@ -221,8 +221,8 @@ def sketches(sets: DataFrame, trees: int = TREES) -> DataFrame:
     if not n_several:
         return pieces.drop("salt")
     several = broadcast_if_small(several, n_several)
-    joint = pieces.join(several, "e", "left_semi").groupBy("e").applyInArrow(merge, _RAW)
-    return written(pieces.join(several, "e", "left_anti").unionByName(joint).drop("salt"), "sketches")
+    joint = written(pieces.join(several, "e", "left_semi").groupBy("e").applyInArrow(merge, _RAW), "joint")
+    return pieces.join(several, "e", "left_anti").unionByName(joint).drop("salt")
 
 
 def _sampled_depths(found: DataFrame, sets: DataFrame, threshold: float, min_size: int, trees: int) -> dict[float, int]:
