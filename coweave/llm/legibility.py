@@ -1,7 +1,7 @@
 """Readable article text in scanned pages, and what readability formulas need to know of it. Plain Python; nothing here knows of Spark.
 
 Counts (words, sentences, syllables, letters) do not depend on the order of lines, so columns that were read across
-need not be put in order: lines are cut where columns meet, each piece is kept or dropped, and words broken at line
+need not be put in order: lines are cut where columns meet, each piece is kept or dropped (see `lines`), and words broken at line
 ends are joined with the piece that goes on with them.
 """
 
@@ -11,27 +11,26 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+from .lines import LineModel, cells_of, describe
+
 # Old letter forms and ligatures, and what they stand for.
 LETTER_FORMS = {"ſ": "s", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "æ": "ae", "œ": "oe", "Æ": "Ae", "Œ": "Oe"}
 # Signs that mark a word broken at a line end.
 BREAK_SIGNS = "-=~¬‐­_"
-# Frequent short words of each language.
+# Frequent short words of each language.
 FUNCTION_WORDS = {
     "en": "the a an of and in at on by to for was were is with it that which until because while".split(),
     "de": "der die das den dem des und im am ein eine einen einer zu zum zur nach mit auf bei ist war".split(),
     "fr": "le la les un une des du et au aux en de son sa ses dans sur est avec pour par car".split(),
 }
-# Words and signs of adverts, lists and notices as these pages have them, as whole words.
-CUES = re.compile(r"\bReward\b|\bApply\b |\bCash only\b|\bper (?:box|qr)\b|(?<![^\W\d_])lb\.| rent\b|& S|\*\*\*|\.\.\.| tons\b")
-SHOUT = re.compile(r"[A-ZÄÖÜÉÈ]{3}")
-FIGURE = re.compile(r"[0-9£½]")
-PRICE = re.compile(r"[0-9£½](?:(?<=[£½])|(?= ?[sdf]\b)|(?= rooms))")
-RUBBISH = re.compile(r"[~^·•«»|<>=_\\/{}0-9]")
+FUNCTION_CELLS = cells_of([w for words in FUNCTION_WORDS.values() for w in words])
+#: A piece of more characters is no scanned line; it is cut at spaces, a run without space at this length.
+LONG_PIECE = 10_000
 LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 COLUMN = re.compile(r" ?\| ?|\t| {3,}")
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 STOP = re.compile(r"[.!?](?:(?<=[^\W_]{2}.)|(?<=[”\"»')].))")
-# Short forms whose full stop ends no sentence.
+# Short forms whose full stop ends no sentence.
 SHORT_FORMS = ("Mr.", "Mrs.", "Dr.", "St.", "Messrs.", "Hon.", "Rev.", "Capt.", "Hr.", "Mme.")
 SIGNS = re.compile(r"[·•^|*~`]+")
 
@@ -64,44 +63,55 @@ def syllables(word: str, language: str) -> int:
     return max(1, n)
 
 
-def segments(text: str) -> list[str]:
-    """Pieces of lines of the article: columns apart, without headings, adverts, notices, lists and rubbish."""
+def pieces_of(text: str) -> list[str]:
+    """Pieces of the lines of a text, columns apart, without empty ones."""
     for form, plain in LETTER_FORMS.items():
         if form in text:
             text = text.replace(form, plain)
-    kept = []
-    advert = False
+    out = []
     for line in LINE.split(text):
         for piece in COLUMN.split(line) if "   " in line or "|" in line or "\t" in line else (line,):
             piece = piece.strip()
-            if not piece:
-                continue
-            if SHOUT.search(piece) or (FIGURE.search(piece) and PRICE.search(piece)) or CUES.search(piece):
-                advert = True
-                continue
-            if RUBBISH.search(piece) and 2 * sum(map(str.isalpha, piece)) < len(piece):
-                continue
-            # the last words of an advert stand alone on a short line of names
-            if advert and len(piece) < 24 and (piece[-1] in ".," or len(piece) < 10) and not any(w.islower() for w in WORD.findall(piece)[:-1]):
-                continue
-            advert = False
-            kept.append(piece)
-    return kept
+            while len(piece) > LONG_PIECE:
+                at = piece.rfind(" ", 1, LONG_PIECE)
+                at = LONG_PIECE if at < 0 else at
+                out.append(piece[:at])
+                piece = piece[at:].strip()
+            if piece:
+                out.append(piece)
+    return out
 
 
 def joined(pieces: list[str]) -> str:
-    """Pieces as one text; a broken word is joined with the next piece that starts in lower case, of the three that follow."""
+    """Pieces as one text; a broken word is joined with the next piece that starts in lower case and goes on with no other word."""
     pieces = list(pieces)
+    # for each place the next piece that starts in lower case; pieces that have been used are passed over
+    after = [len(pieces)] * (len(pieces) + 1)
+    for k in range(len(pieces) - 1, -1, -1):
+        after[k] = k if pieces[k][:1].islower() else after[k + 1]
+
+    def next_free(k: int) -> int:
+        path = []
+        while (j := after[k]) != k and j < len(pieces):
+            path.append(k)
+            k = j
+        for x in path:
+            after[x] = j
+        return j
+
     for k, piece in enumerate(pieces):
         end = piece.rstrip()
         if not end or end[-1] not in BREAK_SIGNS:
             continue
         head = end.rstrip(BREAK_SIGNS + " ")
-        for j in range(k + 1, min(k + 4, len(pieces))):
-            if pieces[j][:1].islower():
-                tail, _, rest = pieces[j].partition(" ")
-                head, pieces[j] = head + tail, rest
+        j = next_free(k + 1)
+        while j < len(pieces):
+            tail, _, rest = pieces[j].partition(" ")
+            pieces[j], after[j] = rest, after[j + 1]
+            head += tail
+            if rest or tail[-1] not in BREAK_SIGNS:
                 break
+            head, j = head.rstrip(BREAK_SIGNS + " "), next_free(j + 1)  # the word is broken once more
         pieces[k] = head
     return " ".join(pieces)
 
@@ -124,9 +134,10 @@ def language_of(words: Counter) -> str:
 
 
 class Reader:
-    """Counts of texts; syllables of words are remembered."""
+    """Counts of texts. ``lines`` tells article from other matter; syllables of words are remembered."""
 
-    def __init__(self, memo_words: int = 200_000) -> None:
+    def __init__(self, lines: LineModel | None = None, memo_words: int = 200_000) -> None:
+        self.lines = lines or LineModel(FUNCTION_CELLS)
         self.memo: dict[str, dict[str, tuple[int, int]]] = {g: {} for g in FUNCTION_WORDS}
         self.memo_words = memo_words
 
@@ -142,9 +153,21 @@ class Reader:
                 memo[word] = found
         return found
 
+    def articles(self, texts: list[str | None]) -> list[list[str]]:
+        """The pieces of each text that belong to its article."""
+        pages = [pieces_of(t) if t else [] for t in texts]
+        keep = iter((self.lines.log_odds(describe(pages, FUNCTION_CELLS)) > 0).tolist())
+        return [[p for p in page if next(keep)] for page in pages]
+
+    def all_counts(self, texts: list[str | None]) -> list[Counts]:
+        """Counts of the article in each text; zeros for a text that is null, empty or holds none."""
+        return [c for lo in range(0, len(texts), 256) for c in map(self._counts, self.articles(texts[lo : lo + 256]))]
+
     def counts(self, text: str | None) -> Counts:
-        """Counts of the article in a text; zeros for a text that is null, empty or holds none."""
-        article = SIGNS.sub("", joined(segments(text))) if text else ""
+        return self.all_counts([text])[0]
+
+    def _counts(self, pieces: list[str]) -> Counts:
+        article = SIGNS.sub("", joined(pieces))
         words = Counter(WORD.findall(article.lower()))
         language = language_of(words)
         n = sum(words.values())

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 from coweave.llm import plans
-from coweave.llm.legibility import FORMULAS, Counts, Reader, grades, joined, language_of, segments, syllables
-from coweave.llm.reading import fit_scale, hard_documents, learn_scale, levels, measures
+from coweave.llm.legibility import FORMULAS, LONG_PIECE, Counts, Reader, grades, joined, language_of, pieces_of, syllables
+from coweave.llm.reading import fit_scale, hard_documents, learn_lines, learn_scale, levels, measures
 
 
 @pytest.mark.parametrize(
@@ -17,14 +17,40 @@ def test_syllables(word, language, n):
     assert syllables(word, language) == n
 
 
-def test_adverts_headings_and_lists_are_left_out():
-    text = "9 THE DAILY LEAF\nTOWN NEWS.\nThe cat ſaw the red dog\nBUY X SOAP *** BUY X SOAP\nTO LET, house of 2 rooms, York, rent £2\nnear the gate in 1891.\nOats, per qr. 4s 3d to 29s\nMar 4% ........ 67 ½ 140\ni~,f1-^ «1-1·t:"
-    assert segments(text) == ["The cat saw the red dog", "near the gate in 1891."]
-    assert segments("eins zwei   drei vier | fünf sechs\r\nsieben\racht") == ["eins zwei", "drei vier", "fünf sechs", "sieben", "acht"]
+ARTICLE = """The cat ſaw the red dog near the mill and went
+home by the road in 1891, because the rain had not
+stopped all day. The man who kept the gate paid £2
+for a new coat, and the USA were far away ... he
+said to the boys of the town who had come to see it."""
+
+
+def test_columns_are_apart_and_long_lines_are_cut():
+    assert pieces_of("eins zwei   drei vier | fünf sechs\r\nsieben\racht") == ["eins zwei", "drei vier", "fünf sechs", "sieben", "acht"]
+    long = pieces_of("word " * 5000)
+    assert max(map(len, long)) <= LONG_PIECE and sum(len(p.split()) for p in long) == 5000
+    assert "".join(pieces_of("x" * 25_000)) == "x" * 25_000 and Reader().counts("a " * 200_000).words == 200_000
+
+
+def test_print_alone_tells_headings_and_price_lists():
+    page = "9 THE DAILY LEAF\nTOWN NEWS.\n" + ARTICLE + "\nBUY X SOAP *** BUY X SOAP\nOATS, 4s 3d 29s\nMar 4% ........ 67 ½ 140\ni~,f1-^ «1-1·t:"
+    assert Reader().articles([page]) == [pieces_of(ARTICLE)]
+
+
+def test_words_of_other_matter_are_learned():
+    """Notices in plain letters: nothing but their words tells them, and those are learned from pages without article."""
+    notice = "Good rooms to hire at the mill, ask Mister Brown"
+    assert notice in Reader().articles([ARTICLE + "\n" + notice])[0]
+    other = "\n".join(f"{k}/0 BROWN 34-12-99 HILL 00{k} 12345 *** Good rooms to hire *** ask Mister Brown {k}{k}5/67 899" for k in range(6))
+    lines = learn_lines([ARTICLE] * 40 + [other, "", None] * 20, [True] * 40 + [False] * 60)
+    assert Reader(lines).articles([ARTICLE + "\n" + notice]) == [pieces_of(ARTICLE)]
+    assert not learn_lines([], []).lexicon.any() and not learn_lines([ARTICLE], [True]).lexicon.any()
 
 
 def test_broken_words_are_joined_across_columns():
     assert joined(["the comm-", "The other col", "ittee met"]) == "the committee The other col met"
+    assert joined(["comm-", "One", "Two", "Three", "Four", "ittee met", "ag-", "ain"]) == "committee One Two Three Four met again "
+    assert joined(["a-", "b-", "one x", "two y"]) == "abone  x two y"
+    assert joined(["x-"] * 50_000).startswith("xx")  # no slower for a text of nothing but broken words
     assert joined(["end¬", "ing"]).strip() == "ending" and joined(["last-"]) == "last" and joined([]) == ""
 
 
@@ -78,7 +104,7 @@ def test_a_scale_without_ratings_finds_nothing(spark):
     docs, labels = pages(spark, 20)
     assert hard_documents(docs, learn_scale(docs, labels.where("false"))).count() == 0
     flat = fit_scale(np.array(["en"] * 3, object), np.ones((3, len(FORMULAS))), np.array([2, 2, 2]))
-    assert (flat.log_odds("de", 4, np.ones((1, len(FORMULAS)))) < 0).all()
+    assert flat.cuts["de", 4] == np.inf and flat.cuts["de", 2] == -np.inf and flat.median("de", np.ones((1, len(FORMULAS)))) == pytest.approx([2.0])
 
 
 FOLDER = "/root/testdata/sf0.01"
