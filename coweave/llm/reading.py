@@ -112,11 +112,13 @@ def learn_scale(documents: DataFrame, labels: DataFrame, text: str = "text", key
     chosen = written(chosen, "rated")
     slim = documents.select(key, F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), key)  # at most `most` keys
     texts = written(slim.groupBy(key, "has").agg(F.min("_text").alias("_text")), "rated-texts")
-    # a few thousand texts of bounded length
-    some = texts.where(F.length("_text") <= LINE_CHARS).orderBy(F.xxhash64(key), key).limit(LINE_DOCUMENTS).select("_text", "has").toArrow()
+    short = texts.where(F.length("_text") <= LINE_CHARS)
+    few = short.select(key).orderBy(F.xxhash64(key), key).limit(LINE_DOCUMENTS)
+    some = short.join(F.broadcast(few), key, "left_semi").select("_text", "has").toArrow()  # a few thousand texts of bounded length
     lines = learn_lines(some.column(0).to_pylist(), some.column(1).to_pylist())
     levels_of = rated.where(F.col("level").isNotNull()).join(F.broadcast(chosen.select(key)), key, "left_semi")  # at most 5 rows for each of `most` documents
-    found = measures(texts, "_text", key, lines).where(F.col("words") >= LEAST_WORDS).join(levels_of, key).orderBy(key, "level").collect()  # bounded by `most`
+    found = measures(texts, "_text", key, lines).where(F.col("words") >= LEAST_WORDS).join(levels_of, key).collect()  # bounded by `most`
+    found.sort(key=lambda r: (r[key], r.level))  # least squares add up in one order
     language = np.array([r.language for r in found], object)
     estimates = np.array([grades(Counts(r.language, r.words, r.sentences, r.syllables, r.polysyllables, r.letters)) for r in found]).reshape(len(found), len(FORMULAS))
     times = [r.m for r in found]
