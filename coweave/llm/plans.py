@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.interactions import is_finite
+from ..plans import core
 from ..sources.tables import table
 from .encode import count_tokens, decode, encode
 from .overlap import contained, nearest_sets, overlaps
@@ -16,20 +16,14 @@ from .surprise import cooccurrence
 from .topn import top_n
 
 
-def _positive(c: Column) -> Column:
-    return is_finite(c) & (c > 0)
-
-
 def counting_interactions(spark: SparkSession, folder: str) -> DataFrame:
-    """(user_id, item_id) of rows that count: both ids, and a finite positive value. Rows repeat."""
-    x = table(spark, folder, "interactions")
-    return x.where(F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & _positive(F.col("val"))).select("user_id", "item_id")
+    """(user_id, item_id) of rows that count. Rows repeat."""
+    return core.counting_interactions(spark, folder).select("user_id", "item_id")
 
 
 def counting_gram(spark: SparkSession, folder: str) -> DataFrame:
-    """(item_id, neighbor_id) of entries that count: two different items, and a finite positive value. Rows repeat."""
-    g = table(spark, folder, "gram")
-    return g.where(F.col("item_id").isNotNull() & F.col("neighbor_id").isNotNull() & (F.col("neighbor_id") != F.col("item_id")) & _positive(F.col("p"))).select("item_id", "neighbor_id")
+    """(item_id, neighbor_id) of entries that count. Rows repeat."""
+    return core.counting_gram(spark, folder).select("item_id", "neighbor_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,8 +38,8 @@ def p2_surprise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts of `p2_surprise` for pairs with at least 8 common users, the limit in the SQL of this query."""
-    return cooccurrence(counting_interactions(spark, folder), "user_id", "item_id", min_count=8).pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+    """The counts of `p2_surprise`."""
+    return cooccurrence(counting_interactions(spark, folder), "user_id", "item_id").pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +152,7 @@ QUERIES = {
 
 _X = "x as (select distinct user_id, item_id from interactions where user_id is not null and item_id is not null and isfinite(val) and val > 0)"
 _PAIRS = f"""{_X}, c as (select item_id, count(*) as n from x group by 1), u as (select count(distinct user_id) as n from x),
- ab as (select a.item_id as item_a, b.item_id as item_b, count(*) as n_ab from x a join x b using (user_id) where a.item_id < b.item_id group by 1, 2 having count(*) >= 8),
+ ab as (select a.item_id as item_a, b.item_id as item_b, count(*) as n_ab from x a join x b using (user_id) where a.item_id < b.item_id group by 1, 2),
  s as (select item_a, item_b, n_ab, ca.n as n_a, cb.n as n_b, u.n as n from ab join c ca on ca.item_id = item_a join c cb on cb.item_id = item_b cross join u)"""
 _M = """m as (select distinct col_id, row_idx from audiences where col_id is not null and row_idx is not null),
  c as (select col_id, count(*) as n from m group by 1),
@@ -186,7 +180,7 @@ _W = """w as (select target_item, source_item, max(weight) as weight from weight
  r as (select *, row_number() over (partition by target_item order by weight desc, source_item) as position from w)"""
 
 ORACLE = {
-    "p2_found": f"with {_PAIRS} select item_a, item_b from s where n_ab * n >= 4 * n_a * n_b",
+    "p2_found": f"with {_PAIRS} select item_a, item_b from s where n_ab >= 8 and n_ab * n >= 4 * n_a * n_b",
     "p2_pairs": f"with {_PAIRS} select item_a, item_b, n_ab, n_a, n_b, round(n_ab * n::double / (n_a * n_b), 6) as lift from s",
     "p3_found": f"with {_M} select set_a as col_a, set_b as col_b from s where shared * 5 >= least(size_a, size_b)",
     "p3_overlaps": f"with {_M} select * from s",

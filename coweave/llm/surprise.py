@@ -9,6 +9,7 @@ items gives q-values.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ CLASS_WIDTH = 0.01
 #: p-values are ranked in steps of 1/50 of their natural logarithm, rounded up: q-values are at most 2 % too large.
 P_STEPS = 50
 LEAST_LOG_P = -745.0
+#: Cells of windows that are transformed at once.
+WINDOW_CELLS = 1 << 18
 #: Coin flips below this probability enter a characteristic function by power sums, as many as leave an error below 1e-12.
 SERIES_BELOW = 0.1
 SERIES_TERMS = 20
@@ -43,15 +46,15 @@ def _classes(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([r.c for r in rows], dtype=np.int64), np.array([r.m for r in rows], dtype=np.float64), np.array([r.d for r in rows], dtype=np.float64)
 
 
-def fit_null(group_members: np.ndarray, group_size: np.ndarray, item_members: np.ndarray, item_size: np.ndarray, rounds: int = 2000, tol: float = 1e-7) -> np.ndarray:
-    """Probabilities (group classes x item classes) whose row and column sums match the mean sizes.
+def fit_null(group_members: np.ndarray, group_size: np.ndarray, item_members: np.ndarray, item_size: np.ndarray, rounds: int = 2000, tol: float = 1e-7) -> tuple[np.ndarray, bool]:
+    """Probabilities (group classes x item classes) whose row and column sums match the mean sizes, and whether they do to ``tol``.
 
     Alternates Newton steps on log x and log y; the likelihood is concave in them. A class whose members hold
     everything gets probability 1 in the limit.
     """
     total = float((group_members * group_size).sum())
     if not total:
-        return np.zeros((len(group_size), len(item_size)))
+        return np.zeros((len(group_size), len(item_size))), True
     n_items, n_groups = item_members.sum(), group_members.sum()
     u = np.log(np.clip(group_size, 1e-12, None) / np.sqrt(total))
     v = np.log(np.clip(item_size, 1e-12, None) / np.sqrt(total))
@@ -60,15 +63,17 @@ def fit_null(group_members: np.ndarray, group_size: np.ndarray, item_members: np
     def table() -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(u[:, None] + v[None, :], -60, 60)))
 
+    met = False
     for _ in range(rounds):
         p = table()
         u += np.clip((target_u - p @ item_members) / np.maximum((p * (1 - p)) @ item_members, 1e-12), -1, 1)
         p = table()
         v += np.clip((target_v - group_members @ p) / np.maximum(group_members @ (p * (1 - p)), 1e-12), -1, 1)
         p = table()
-        if np.abs(p @ item_members / target_u - 1).max() < tol and np.abs(group_members @ p / target_v - 1).max() < tol:
+        met = bool(np.abs(p @ item_members / target_u - 1).max() < tol and np.abs(group_members @ p / target_v - 1).max() < tol)
+        if met:
             break
-    return table()
+    return table(), met
 
 
 def log_tail(members: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -98,11 +103,21 @@ def log_tail(members: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
     r = e / (1 - q + e)
     cumulant = np.log1p(q * np.expm1(np.minimum(s, 700.0))[:, None]) @ members
     centre = np.where(up, np.round(k), np.round(mean)).astype(np.int64)
-    half = int(2 ** np.ceil(np.log2(12 * np.sqrt(((r * (1 - r)) @ members).max()) + 24)))
-    window = 2 * half
+    half = 2 ** np.ceil(np.log2(12 * np.sqrt((r * (1 - r)) @ members) + 24)).astype(np.int64)
     out = np.empty(len(k))
+    for width in np.unique(half).tolist():  # pairs of one width of window share their transform
+        same = np.flatnonzero(half == width)
+        step = max(1, WINDOW_CELLS // width)
+        for lo in range(0, len(same), step):
+            at = same[lo : lo + step]
+            out[at] = _window(members, r[at], k[at], s[at], centre[at], cumulant[at], width)
+    return np.where((mean <= 0) & (k > 0), LEAST_LOG_P, out)
+
+
+def _window(members: np.ndarray, r: np.ndarray, k: np.ndarray, s: np.ndarray, centre: np.ndarray, cumulant: np.ndarray, half: int) -> np.ndarray:
+    """`log_tail` of pairs with tilted probabilities ``r``, from windows of ``half`` values to either side of ``centre``."""
+    window = 2 * half
     turn = np.exp(2j * np.pi * np.arange(half + 1) / window) - 1
-    span = np.arange(-half, half)
     # ln(1 + r turn) of rare flips as a series in turn: one power sum per term stands for all classes
     rare = np.where(r < SERIES_BELOW, r, 0.0)
     sums, power = np.empty((len(k), SERIES_TERMS)), np.ones_like(rare)
@@ -110,30 +125,32 @@ def log_tail(members: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
         power *= rare
         sums[:, j] = power @ members
     order = np.arange(1, SERIES_TERMS + 1)
-    series = (-((-turn[None, :]) ** order[:, None])) / order[:, None]
-    for row in range(len(k)):
-        used = r[row] >= SERIES_BELOW
-        flips = r[row][used]
-        phi = np.exp(sums[row] @ series + members[used] @ np.log(1 + flips[:, None] * turn[None, :]))
-        pmf = np.fft.irfft(np.conj(phi), window)
-        at = centre[row] + span
-        mass = np.maximum(pmf[at % window], 0.0)
-        keep = (at >= k[row]) & (at >= 0)
-        tail = (mass[keep] * np.exp(-s[row] * (at[keep] - k[row]))).sum()
-        if k[row] <= centre[row] - half or k[row] <= 0:
-            out[row] = 0.0
-        else:
-            out[row] = min(0.0, np.log(max(tail, 1e-300)) + cumulant[row] - s[row] * k[row])
-    return np.where((mean <= 0) & (k > 0), LEAST_LOG_P, out)
+    logs = sums @ (-((-turn[None, :]) ** order[:, None]) / order[:, None])
+    # the other flips one by one, a bounded number of them at once
+    row, flip = np.nonzero(r >= SERIES_BELOW)
+    for lo in range(0, len(row), max(1, WINDOW_CELLS // half)):
+        cut = slice(lo, lo + max(1, WINDOW_CELLS // half))
+        terms = members[flip[cut], None] * np.log(1 + r[row[cut], flip[cut], None] * turn[None, :])
+        starts = np.r_[0, np.flatnonzero(np.diff(row[cut])) + 1]
+        logs[row[cut][starts]] += np.add.reduceat(terms, starts, axis=0)
+    pmf = np.fft.irfft(np.conj(np.exp(logs)), window, axis=1)
+    at = centre[:, None] + np.arange(-half, half)[None, :]
+    mass = np.maximum(np.take_along_axis(pmf, at % window, axis=1), 0.0)
+    above = (at >= k[:, None]) & (at >= 0)
+    tail = np.where(above, mass * np.exp(-s[:, None] * np.where(above, at - k[:, None], 0.0)), 0.0).sum(axis=1)
+    found = np.minimum(0.0, np.log(np.maximum(tail, 1e-300)) + cumulant - s * k)
+    return np.where((k <= centre - half) | (k <= 0), 0.0, found)
 
 
 @dataclass(frozen=True)
 class Cooccurrence:
-    """``pairs``: (item_a, item_b, n_ab, n_a, n_b, lift, expected, log_p, q_value), item_a < item_b; ``n_groups``, ``n_items`` over all rows."""
+    """``pairs``: (item_a, item_b, n_ab, n_a, n_b, lift, expected, log_p, q_value), item_a < item_b; ``n_groups``, ``n_items`` over all rows;
+    ``fitted``: whether the null model keeps all sizes."""
 
     pairs: DataFrame
     n_groups: int
     n_items: int
+    fitted: bool
 
 
 def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1, min_lift: float = 0.0, max_group: int = MAX_GROUP) -> Cooccurrence:
@@ -154,7 +171,9 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
     group_class, group_members, group_size = _classes(groups)
     item_class, item_members, item_size = _classes(items)
     n_groups, n_items = int(group_members.sum()), int(item_members.sum())
-    chance = fit_null(group_members, group_size, item_members, item_size)
+    chance, fitted = fit_null(group_members, group_size, item_members, item_size)
+    if not fitted:
+        warnings.warn("the null model does not keep all sizes: expected counts and p-values are approximate", RuntimeWarning, stacklevel=2)
 
     fits = (F.col("n") >= min_count) & (F.col("n") * F.lit(float(min_lift)) <= F.lit(float(n_groups)))
     kept = items.where(fits)
@@ -185,8 +204,8 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
         for batch in batches:
             c1, c2, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in case)
             logs, means = np.empty(len(n)), np.empty(len(n))
-            for lo in range(0, len(n), 256):
-                one = slice(lo, lo + 256)
+            for lo in range(0, len(n), 1024):
+                one = slice(lo, lo + 1024)
                 q = p[np.searchsorted(classes, c1[one])] * p[np.searchsorted(classes, c2[one])]
                 means[one] = q @ members
                 logs[one] = log_tail(members, q, n[one])
@@ -213,4 +232,5 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
         pairs.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_ab", "n_a", "n_b", lift.alias("lift"), "expected", "log_p", "q_value"),
         n_groups,
         n_items,
+        fitted,
     )

@@ -53,9 +53,48 @@ def test_empty_and_single(spark):
 
 
 def test_null_model_keeps_sizes():
-    p = fit_null(np.array([30.0, 5.0]), np.array([2.0, 9.0]), np.array([10.0, 3.0]), np.array([6.0, 15.0]))
+    p, fitted = fit_null(np.array([30.0, 5.0]), np.array([2.0, 9.0]), np.array([10.0, 3.0]), np.array([6.0, 15.0]))
+    assert fitted and not fit_null(np.array([30.0, 5.0]), np.array([2.0, 9.0]), np.array([10.0, 3.0]), np.array([6.0, 15.0]), rounds=1)[1]
     assert np.allclose(p @ [10, 3], [2, 9], rtol=1e-5) and np.allclose([30, 5] @ p, [6, 15], rtol=1e-5)
-    assert not fit_null(np.array([]), np.array([]), np.array([]), np.array([])).size
+    assert not fit_null(np.array([]), np.array([]), np.array([]), np.array([]))[0].size
+
+
+def brute_surprise(m):
+    """Expected counts and p-values of all pairs of columns by a plain fixed-point fit of one factor per row and column, and by convolution."""
+    rows, cols = m.sum(1).astype(float), m.sum(0).astype(float)
+    x, y = rows / np.sqrt(rows.sum()), cols / np.sqrt(cols.sum())
+    for _ in range(20_000):
+        x = rows / (y[None, :] / (1 + x[:, None] * y[None, :])).sum(1)
+        y = cols / (x[:, None] / (1 + x[:, None] * y[None, :])).sum(0)
+    p = x[:, None] * y[None, :] / (1 + x[:, None] * y[None, :])
+    expected, tails = {}, {}
+    for i, j in combinations(range(m.shape[1]), 2):
+        flips, pmf = p[:, i] * p[:, j], np.ones(1)
+        for f in flips:
+            pmf = np.convolve(pmf, [1 - f, f])
+        expected[i, j], tails[i, j] = flips.sum(), pmf[int((m[:, i] & m[:, j]).sum()) :].sum()
+    return expected, tails
+
+
+def test_expected_counts_and_tails_match_brute_force(spark):
+    data, m = random_rows(5, 60, 14)
+    m = m[m.any(1)]
+    expected, tails = brute_surprise(m)
+    found = cooccurrence(memberships(spark, data), "g", "e")
+    assert found.fitted
+    for r in found.pairs.collect():
+        assert r.expected == pytest.approx(expected[r.item_a, r.item_b], rel=1e-6)
+        assert r.log_p == pytest.approx(log(tails[r.item_a, r.item_b]), abs=1e-5)
+
+
+def test_wide_classes_cost_little(spark, monkeypatch):
+    """Classes 1 % wide from size 8 on instead of 256: far coarser than in production, where sizes are larger."""
+    data, _ = random_rows(6, 300, 30)
+    exact = {(r.item_a, r.item_b): r for r in cooccurrence(memberships(spark, data), "g", "e").pairs.collect()}
+    monkeypatch.setattr("coweave.llm.surprise.EXACT_SIZES", 8)
+    for r in cooccurrence(memberships(spark, data), "g", "e").pairs.collect():
+        one = exact[r.item_a, r.item_b]
+        assert r.expected == pytest.approx(one.expected, rel=0.02) and r.log_p == pytest.approx(one.log_p, rel=0.05, abs=0.05)
 
 
 def test_tails_match_exact_distributions():
