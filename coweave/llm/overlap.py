@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import spread_join
 from ..functions.shared import written
+from ..functions.sums import numbered
 from ..operators.copairs import MAX_GROUP, pair_products
 
 
@@ -31,16 +33,21 @@ def overlaps(rows: DataFrame, set_column: str, id_column: str, *, max_group: int
     if plain:
         coded = base.select(F.col("s").alias("code"), "i")
     else:
-        book = set_codes(base, "s")
-        coded = base.join(book, "s").select("code", "i")
-    identifier = F.col("i") if base.schema["i"].dataType == T.LongType() else F.xxhash64("i")
-    coded = written(coded.select("code", identifier.alias("i")).distinct(), "memberships")
+        codes = set_codes(base, "s")
+        coded = base.join(codes, "s").select("code", "i")
+    coded = written(coded.distinct(), "memberships")
+    if base.schema["i"].dataType != T.LongType():
+        ids = written(coded.groupBy("i").agg(F.count(F.lit(1)).alias("m")), "identifiers")
+        book = numbered(ids, ["i"], "no")  # a number for each identifier: nothing is hashed
+        parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        named = spread_join(coded, book.select("i", "no"), ["i"], book.where(F.col("m") > 100_000), ["code"], parts)
+        coded = written(named.select("code", F.col("no").alias("i")), "memberships")
     sizes = written(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "set-sizes")
     pairs = pair_products(coded, "i", "code", max_group=max_group).select("a", "b", F.col("n").alias("shared"))
     sized = pairs.join(sizes.select(F.col("code").alias("a"), F.col("n").alias("size_a")), "a").join(sizes.select(F.col("code").alias("b"), F.col("n").alias("size_b")), "b")
     if plain:
         return sized.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "shared", "size_a", "size_b")
-    name = lambda end: book.select(F.col("code").alias(end), F.col("s").alias(f"set_{end}"))
+    name = lambda end: codes.select(F.col("code").alias(end), F.col("s").alias(f"set_{end}"))
     return sized.join(name("a"), "a").join(name("b"), "b").select("set_a", "set_b", "shared", "size_a", "size_b")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import written
+from ..functions.sums import numbered
 from .encode import count_tokens
 
 CAPACITY = 2048
@@ -140,14 +141,16 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
 
     An item is divided only if it alone exceeds the capacity: into full containers and one rest. Items of size 0 or null
     take no room; they have one piece from 0 to 0 with a null container. Every row is its own item, repeated keys
-    included; other columns are ignored; an empty table gives no containers. ``rounds`` limits the repackings; by default they go on
+    included; other columns are ignored; an empty table gives no containers. The packing depends on keys and sizes alone, not on
+    files or partitions; rows equal in both are interchangeable. ``rounds`` limits the repackings; by default they go on
     until the bound is met or a round saves nothing.
     """
     if capacity < 1:
         raise ValueError(f"capacity must be >= 1, got {capacity}")
     spark = sizes.sparkSession
     rows = sizes.select(F.col(key).alias("doc_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n_tokens"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    # numbers follow key and size, so containers do not depend on how the input lies in files
+    rows = numbered(written(rows, "sizes"), ["doc_id", "n_tokens"], "row")
     facts = rows.agg(F.count_if(F.col("n_tokens") > 0).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     # at most `capacity` sizes of rests
     rests = rows.select(F.pmod("n_tokens", F.lit(capacity)).alias("s"), F.expr(f"n_tokens div {capacity}").alias("f")).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.sum("f").alias("f")).collect()

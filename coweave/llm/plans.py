@@ -9,7 +9,7 @@ from ..plans import core
 from ..sources.tables import table
 from .encode import count_tokens, decode, encode
 from .overlap import contained, nearest_sets, overlaps
-from .packing import Packing, pack_documents
+from .packing import Packing, pack, pack_documents
 from .reading import hard_documents, learn_scale, levels
 from .similar import SimilarSets, linked_sets, similar_sets
 from .surprise import cooccurrence
@@ -119,6 +119,13 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(p.containers, p.bound, p.tokens, fill, p.rounds)], "containers bigint, least bigint, tokens bigint, fill double, rounds int")
 
 
+def p7_byte_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by the bytes of their text in containers of 4,096: bytes, the proven least number of containers, and whether no fewer are used."""
+    docs = table(spark, folder, "documents").select("doc_id", F.octet_length(F.col("text")).cast("bigint").alias("size"))
+    p = pack(docs, "doc_id", "size", 4096)
+    return spark.createDataFrame([(p.tokens, p.bound, p.containers >= p.bound)], "bytes bigint, least bigint, kept boolean")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return hard_documents(docs, learn_scale(docs, table(spark, folder, "level_labels")))
@@ -146,6 +153,7 @@ QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
+    "p7_byte_bound": p7_byte_bound,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
 }
@@ -171,10 +179,26 @@ def _similar(rows: str, element: str, value: str, field: str) -> str:
 select '{field}' as field_name, a as item_a, b as item_b from s where m * 5 >= 3 * (na + nb - m)"""
 
 
-_P4 = (
-    _similar("select distinct user_id, item_id from interactions where user_id is not null and item_id is not null and isfinite(val) and val > 0", "item_id", "user_id", "row_idx"),
-    _similar("select distinct item_id, neighbor_id from gram where item_id is not null and neighbor_id is not null and neighbor_id <> item_id and isfinite(p) and p > 0", "item_id", "neighbor_id", "indices"),
+def _items(rows: str, element: str, value: str, field: str) -> str:
+    """Classes of equal sets, and how many other classes are similar to each."""
+    return f"""select '{field}' as field_name, e.item_id, e.class, e.copies, coalesce(n.links, 0) as links from
+ (select item_id, min(item_id) over (partition by l) as class, count(*) over (partition by l) as copies from
+  (select {element} as item_id, list({value} order by {value}) as l from ({rows}) group by 1 having count(*) >= 5)) e
+ left join (select ca, count(distinct cb) as links from
+  (select x.class as ca, y.class as cb from both_ways p join classes x on x.field_name = p.field_name and x.item_id = p.a join classes y on y.field_name = p.field_name and y.item_id = p.b
+   where p.field_name = '{field}' and x.class <> y.class) group by 1) n on n.ca = e.class"""
+
+
+def _classes(rows: str, element: str, value: str, field: str) -> str:
+    return f"""select '{field}' as field_name, item_id, min(item_id) over (partition by l) as class from
+ (select {element} as item_id, list({value} order by {value}) as l from ({rows}) group by 1 having count(*) >= 5)"""
+
+
+_ROWS = (
+    ("select distinct user_id, item_id from interactions where user_id is not null and item_id is not null and isfinite(val) and val > 0", "item_id", "user_id", "row_idx"),
+    ("select distinct item_id, neighbor_id from gram where item_id is not null and neighbor_id is not null and neighbor_id <> item_id and isfinite(p) and p > 0", "item_id", "neighbor_id", "indices"),
 )
+_P4 = tuple(_similar(*r) for r in _ROWS)
 _W = """w as (select target_item, source_item, max(weight) as weight from weights
   where target_item <> source_item and isfinite(weight) and weight > 0 group by 1, 2),
  r as (select *, row_number() over (partition by target_item order by weight desc, source_item) as position from w)"""
@@ -188,7 +212,16 @@ ORACLE = {
  union all select set_b, set_a, shared, shared::double / (size_a + size_b - shared) from s)
 select col_id, other, row_number() over (partition by col_id order by j desc, other) as rank, shared from d qualify rank <= 3""",
     "p4_found": f"({_P4[0]}) union all ({_P4[1]})",
+    "p4_items": f"""with pairs as (select * from ({_P4[0]}) union all select * from ({_P4[1]})),
+ both_ways as (select field_name, item_a as a, item_b as b from pairs union all select field_name, item_b, item_a from pairs),
+ classes as (({_classes(*_ROWS[0])}) union all ({_classes(*_ROWS[1])}))
+({_items(*_ROWS[0])}) union all ({_items(*_ROWS[1])})""",
     "p5_found": f"with {_W} select target_item, source_item from r where position <= 10",
     "p5_positions": f"with {_W} select * from r where position <= 3",
+    "p7_byte_bound": """with d as (select coalesce(strlen(text), 0) as n from documents), r as (select n % 4096 as s, count(*) as m from d where n % 4096 > 0 group by 1),
+ t as (select t, coalesce(sum(m) filter (s > 4096 - t), 0) + ceil(coalesce(sum(s * m) filter (s between t and 4096 - t), 0) / 4096.0) as least from range(1, 2049) x(t), r group by 1),
+ k as (select k, ceil(sum(m * case when (k + 1) * s % 4096 = 0 then s * k else ((k + 1) * s // 4096) * 4096 end) / (k * 4096.0)) as least from range(1, 31) x(k), r group by 1)
+select (select cast(sum(n) as bigint) from d) as bytes,
+ cast((select sum(n // 4096) from d) + greatest((select max(least) from t), (select max(least) from k), (select ceil(sum(s * m) / 4096.0) from r)) as bigint) as least, true as kept""",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }
