@@ -1,11 +1,11 @@
 """Per-key results when a few keys hold most rows: exact offset chunking.
 
-1. Rows get a fixed input partition by hash of their own identity, and a number among the rows of their key there.
-2. Rows are counted per (key, input partition); a running sum over these counts gives every (key, partition) its exact
-   offset, so every row has an exact position in the order of keys.
+1. Rows stay in the input partitions they lie in; each partition sorts its own by key and writes them once, numbered.
+2. Rows are counted per (key, input partition), which the sorted partitions do before anything is shuffled; a running sum over
+   these counts gives every (key, partition) its exact offset, so every row has an exact position in the order of keys.
 3. Positions are cut into chunks of equal size: a key of a third of all rows just fills many chunks, and thousands of
-   small keys share one. A chunk is a grouping label: rows are aggregated by (chunk, key) on the map side where they lie
-   and are not moved to one task per chunk. Balance comes from the hash in 1.
+   small keys share one. Results that can be put together from parts are aggregated by (chunk, key) on the map
+   side, where rows lie; a step that needs all rows of a chunk gets them in one task (`apply_chunks`), equal work for each.
 4. A key inside one chunk is finished there. Keys that cross a chunk border leave one state per chunk, merged in
    order of chunks.
 """
@@ -15,9 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
 from ..functions.shared import written
 from ..functions.sums import running_offsets
 
@@ -72,30 +74,41 @@ class Chunked:
     chunk_rows: int
 
 
-def chunk_by_key(df: DataFrame, key: str, identity: list[str], chunk_rows: int | None = None, partitions: int | None = None) -> Chunked:
+def chunk_by_key(df: DataFrame, key: str, identity: list[str], chunk_rows: int | None = None) -> Chunked:
     """Exact positions and equal-sized chunks for all rows of ``df`` whose ``key`` is not null.
 
-    ``identity`` names columns whose combination orders the rows of a key; rows that agree on all of them are
-    interchangeable. The numbered rows are written to the shared folder once, so later passes and retries see the
-    same numbers. ``chunk_rows`` is by default the share of a quarter of a task.
+    The rows of a key are ordered by input partition and there by ``identity``. Rows are written to the shared folder
+    once, numbered as they lie, so later passes and retries see the same numbers; only counts are shuffled.
+    ``chunk_rows`` is by default the share of a quarter of a task. Totals do not depend on how the input is partitioned; positions,
+    and with them first and last states, follow it.
     """
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    clash = [c for c in df.columns if c in ("_part", "_no", "_pos", "_chunk", "_start", "_n", "_before", "_offset")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    clash = [c for c in df.columns if c in ("_part", "_at", "_pos", "_chunk", "_start", "_n", "_here", "_first", "_offset")]
     if clash:
         raise ValueError(f"columns {clash} are used by the operator itself; rename them")
-    placed = df.where(F.col(key).isNotNull()).withColumn("_part", F.pmod(F.xxhash64(*identity), F.lit(parts)).cast("int"))
-    order = Window.partitionBy("_part", key).orderBy(*identity)
-    numbered = written(placed.withColumn("_no", F.row_number().over(order) - 1), "numbered")
-    counts = written(numbered.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_here")), "counts")
-    n_rows = counts.agg(F.coalesce(F.sum("_here"), F.lit(0)).alias("n")).first().n
-    size = chunk_rows or max(1, -(-n_rows // (4 * parts)))
+    placed = df.where(F.col(key).isNotNull()).sortWithinPartitions(key, *identity).withColumn("_at", F.monotonically_increasing_id())
+    numbered = written(placed, "numbered").withColumn("_part", F.shiftright("_at", 33))  # the upper bits are the input partition
+    counts = written(numbered.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_here"), F.min("_at").alias("_first")), "counts")
+    facts = counts.agg(F.coalesce(F.sum("_here"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m")).first()
+    size = chunk_rows or max(1, -(-facts.n // (4 * parts)))
     offsets = running_offsets(counts, [key, "_part"], "_here", "_offset")
     whole = Window.partitionBy(key)
-    offsets = offsets.select(key, "_part", "_offset", F.min("_offset").over(whole).alias("_start"), F.sum("_here").over(whole).alias("_n"))
-    rows = numbered.join(offsets, [key, "_part"]).withColumn("_pos", F.col("_offset") + F.col("_no"))
-    rows = rows.withColumn("_chunk", F.expr(f"_pos div {size}")).drop("_part", "_no", "_offset")
-    return Chunked(rows, key, n_rows, size)
+    # what is added to a row's number to give its position
+    shift = (F.col("_offset") - F.col("_first")).alias("_offset")
+    offsets = offsets.select(key, "_part", shift, F.min("_offset").over(whole).alias("_start"), F.sum("_here").over(whole).alias("_n"))
+    rows = numbered.join(broadcast_if_small(offsets, facts.m), [key, "_part"]).withColumn("_pos", F.col("_at") + F.col("_offset"))
+    rows = rows.withColumn("_chunk", F.expr(f"_pos div {size}")).drop("_part", "_at", "_offset")
+    return Chunked(rows, key, facts.n, size)
+
+
+def apply_chunks(chunked: Chunked, step: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``step`` of the rows of every chunk, in order of positions: each call has ``chunk_rows`` rows (the last one fewer), whatever the keys are.
+
+    For per-key work that cannot be put together from small states on the map side; this shuffles the rows. ``step`` returns its states
+    with the chunk, to be merged in that order.
+    """
+    return chunked.rows.groupBy("_chunk").applyInArrow(lambda t: step(t.sort_by("_pos")), schema)
 
 
 def aggregate_chunks(chunked: Chunked, states: list[ChunkState]) -> DataFrame:

@@ -47,6 +47,33 @@ def test_first_and_last_follow_positions(spark):
     assert {r.k: [r.a, r.b] for r in found.collect()} == expected
 
 
+def test_equal_chunks_are_worked_on_as_a_whole(spark):
+    """The longest run of equal values per key: runs go on over chunk borders, so states are merged in order."""
+    import pyarrow as pa
+
+    from coweave.operators.skew import apply_chunks
+
+    df = table(spark, [("hot", i, (i // 25) % 2) for i in range(300)] + [(f"k{i % 20}", i, 1) for i in range(100)]).coalesce(1)
+    c = chunk_by_key(df, "k", ["id"], chunk_rows=37)
+
+    def runs(t):
+        k, v, n = t.column("k").to_pylist(), t.column("v").to_pylist(), []
+        for a, b in zip(k, v, strict=True):
+            if n and n[-1][:2] == (a, b):
+                n[-1] = (a, b, n[-1][2] + 1)
+            else:
+                n.append((a, b, 1))
+        chunk = t.column("_chunk")[0].as_py()
+        assert t.num_rows == 37 or chunk == 400 // 37
+        return pa.table({"c": [chunk] * len(n), "i": list(range(len(n))), "k": [x[0] for x in n], "v": [x[1] for x in n], "n": [x[2] for x in n]})
+
+    longest, last = {}, (None, None, 0)
+    for r in sorted(apply_chunks(c, runs, "c bigint, i bigint, k string, v bigint, n bigint").collect(), key=lambda r: (r.c, r.i)):
+        last = (r.k, r.v, r.n + (last[2] if last[:2] == (r.k, r.v) else 0))
+        longest[r.k] = max(longest.get(r.k, 0), last[2])
+    assert longest == {"hot": 25} | {f"k{i}": 5 for i in range(20)}
+
+
 def test_heavy_keys_and_empty_tables(spark, rows):
     df = table(spark, skewed())
     assert rows(heavy_keys(df, "k", ["id", "v"], 4)) == [("hot", 300)]
