@@ -24,6 +24,10 @@ from ..functions.shared import written
 from ..functions.sums import running_offsets
 
 
+#: Most (key, partition) rows that are broadcast.
+SMALL = 100_000
+
+
 @dataclass(frozen=True)
 class ChunkState:
     """One output column: ``partial`` aggregates the rows of a key in a chunk, ``merge`` the states of its chunks.
@@ -66,12 +70,17 @@ def last_state(name: str, column: Column) -> ChunkState:
 
 @dataclass(frozen=True)
 class Chunked:
-    """``rows``: the input plus ``_pos`` (0, 1, ... over all rows, keys together), ``_chunk``, ``_start`` and ``_n`` (first position and rows of the key)."""
+    """``rows``: the input plus ``_pos`` (0, 1, ... over all rows, keys together), ``_chunk``, ``_start`` and ``_n`` (first position and rows of the key).
+
+    ``marked``: the input with ``_chunk`` for the rows of keys that cross a chunk border and null for all others, and ``_pos`` that orders the
+    rows of a key in the same way. It costs neither a shuffle nor a large broadcast.
+    """
 
     rows: DataFrame
     key: str
     n_rows: int
     chunk_rows: int
+    marked: DataFrame
 
 
 def chunk_by_key(df: DataFrame, key: str, identity: list[str], chunk_rows: int | None = None) -> Chunked:
@@ -96,10 +105,15 @@ def chunk_by_key(df: DataFrame, key: str, identity: list[str], chunk_rows: int |
     whole = Window.partitionBy(key)
     # what is added to a row's number to give its position
     shift = (F.col("_offset") - F.col("_first")).alias("_offset")
-    offsets = offsets.select(key, "_part", shift, F.min("_offset").over(whole).alias("_start"), F.sum("_here").over(whole).alias("_n"))
-    rows = numbered.join(broadcast_if_small(offsets, facts.m), [key, "_part"]).withColumn("_pos", F.col("_at") + F.col("_offset"))
-    rows = rows.withColumn("_chunk", F.expr(f"_pos div {size}")).drop("_part", "_at", "_offset")
-    return Chunked(rows, key, facts.n, size)
+    offsets = written(offsets.select(key, "_part", shift, F.min("_offset").over(whole).alias("_start"), F.sum("_here").over(whole).alias("_n")), "offsets")
+    chunk = F.expr(f"_pos div {size}")
+    rows = numbered.join(broadcast_if_small(offsets, facts.m, SMALL), [key, "_part"]).withColumn("_pos", F.col("_at") + F.col("_offset"))
+    rows = rows.withColumn("_chunk", chunk).drop("_part", "_at", "_offset")
+    # a key crosses a border in each chunk but the last at most once
+    border = offsets.where(F.expr(f"_start div {size} < (_start + _n - 1) div {size}")).select(key, "_part", "_offset")
+    marked = numbered.join(broadcast_if_small(border, border.count(), SMALL), [key, "_part"], "left").withColumn("_pos", F.col("_at") + F.col("_offset"))
+    marked = marked.withColumn("_chunk", chunk).withColumn("_pos", F.col("_at")).drop("_part", "_at", "_offset")
+    return Chunked(rows, key, facts.n, size, marked)
 
 
 def apply_chunks(chunked: Chunked, step: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -113,14 +127,14 @@ def apply_chunks(chunked: Chunked, step: Callable[[pa.Table], pa.Table], schema:
 
 def aggregate_chunks(chunked: Chunked, states: list[ChunkState]) -> DataFrame:
     """(key, one column per state) for every key of ``chunked``."""
-    key, size = chunked.key, chunked.chunk_rows
-    inside = F.expr(f"_start div {size} = (_start + _n - 1) div {size}")
-    # partial aggregation on the map side: at most one row per chunk and key is shuffled
-    parts = chunked.rows.groupBy("_chunk", key, inside.alias("_inside")).agg(*(s.partial.alias(s.name) for s in states))
+    key = chunked.key
+    # partial aggregation on the map side: at most one row per key and task, and one per chunk a border key fills, is shuffled
+    parts = chunked.marked.groupBy("_chunk", key).agg(*(s.partial.alias(s.name) for s in states))
     parts = written(parts, "states")
     # keys inside one chunk are finished; a border key has one state per chunk it fills
-    done = parts.where("_inside").select(key, *(s.alone(F.col(s.name)).alias(s.name) for s in states))
-    border = parts.where(~F.col("_inside")).groupBy(key).agg(*(s.merge(F.col(s.name), F.col("_chunk")).alias(s.name) for s in states))
+    inside = F.col("_chunk").isNull()
+    done = parts.where(inside).select(key, *(s.alone(F.col(s.name)).alias(s.name) for s in states))
+    border = parts.where(~inside).groupBy(key).agg(*(s.merge(F.col(s.name), F.col("_chunk")).alias(s.name) for s in states))
     return done.unionByName(border)
 
 
