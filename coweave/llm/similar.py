@@ -240,8 +240,8 @@ def _sampled_depths(found: DataFrame, sets: DataFrame, threshold: float, min_siz
     return measured_depths(samples, trees)
 
 
-def _forest(found: DataFrame, depths: dict[float, int], threshold: float, min_size: int, trees: int) -> DataFrame:
-    """(k, prefix, rest, e, n, depth): a set's place in each tree. k is the tree and the first value; rest holds the other two.
+def _forest(found: DataFrame, depths: dict[float, int], threshold: float, min_size: int, trees: int, second: bool) -> DataFrame:
+    """(k, prefix, rest, e, n, depth): a set's place in each tree of the first or the ``second`` forest. k is the tree and the first value; rest holds the other two.
 
     ``prefix`` is 0 in the first forest; in the second it is ``rest`` down to the depth used there, as nothing shorter is compared.
     """
@@ -249,7 +249,7 @@ def _forest(found: DataFrame, depths: dict[float, int], threshold: float, min_si
     beyond = np.uint64(2 ** (16 * (DEPTH - full_depth)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def place(e: np.ndarray, n: np.ndarray, depth: np.ndarray, packed: np.ndarray, second: bool) -> pa.RecordBatch:
+        def place(e: np.ndarray, n: np.ndarray, depth: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
             """All rows of these sets; a tree without value (a set of hubs alone) has no place for them."""
             some = (packed >> np.uint64(32)) != np.uint64(0xFFFFFFFF) if not second else np.ones(packed.shape, bool)
             tree = np.arange(trees, dtype=np.uint64)[None, :] + np.uint64(trees if second else 0)
@@ -268,35 +268,39 @@ def _forest(found: DataFrame, depths: dict[float, int], threshold: float, min_si
                 depth = np.array([depths[band(s)] if band(s) in depths else depth_for(band(s), trees) for s in least])
                 signature = lambda blobs: _packed(np.frombuffer(b"".join(blobs), np.uint32).reshape(len(blobs), -1))
                 names, sizes = e.to_numpy(), n.to_numpy()
-                yield place(names, sizes, np.maximum(depth, 1), signature(rare.to_pylist()), False)
+                if not second:
+                    yield place(names, sizes, np.maximum(depth, 1), signature(rare.to_pylist()))
+                    continue
                 lost = np.flatnonzero(depth == 0)
                 if len(lost):
-                    all_of, rare_of = every.to_pylist(), rare.to_pylist()
-                    yield place(names[lost], sizes[lost], np.full(len(lost), full_depth), signature([all_of[k] or rare_of[k] for k in lost]), True)
+                    yield place(names[lost], sizes[lost], np.full(len(lost), full_depth), signature([every[int(k)].as_py() for k in lost]))
 
-    return found.select("e", "n", "hubs", "rare", "every").mapInArrow(run, "k bigint, prefix int, rest int, e bigint, n bigint, depth int")
+    # a set without hubs is never in the second forest
+    return (found.where(F.col("hubs") > 0) if second else found).select("e", "n", "hubs", "rare", "every").mapInArrow(run, "k bigint, prefix int, rest int, e bigint, n bigint, depth int")
 
 
-def _neighbours(forest: DataFrame, threshold: float) -> DataFrame:
+def _neighbours(first: DataFrame, second: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: sets in one prefix neighbourhood of the depth that both need, of sizes that allow the threshold.
 
-    The forest is sorted over all tasks by (tree, first value, other values); sets of one first value are in one task.
+    The forests are sorted over all tasks by (tree, first value, other values); sets of one first value, or in the written ``second`` forest
+    of one prefix, are in one task.
     """
-    parts = parallel(forest.sparkSession)
-    second = F.col("prefix") != 0
-    crowded = forest.where(second).groupBy("k", "prefix").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE)
+    parts = parallel(first.sparkSession)
+    crowded = second.groupBy("k", "prefix").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE)
     crowded = written(crowded.select("k", "prefix", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "crowded")
     n_crowded = crowded.count()
-    rows = forest.withColumn("tile", F.lit(0)).withColumn("side", F.lit(0))
+    whole = lambda rows: rows.withColumn("tile", F.lit(0)).withColumn("side", F.lit(0))
+    divided = whole(second)
     if n_crowded:
-        marked = forest.join(broadcast_if_small(crowded, n_crowded), ["k", "prefix"], "left")
+        marked = second.join(broadcast_if_small(crowded, n_crowded), ["k", "prefix"], "left")
         own = F.pmod(F.xxhash64("e"), F.col("tiles")).cast("int")
         marked = marked.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
         # a tile holds two blocks of about TILE sets; pairs inside a block belong to the tile of that block alone
         low, high = F.least("own", "other"), F.greatest("own", "other")
         number = low * F.coalesce("tiles", F.lit(1)) + high
-        rows = marked.withColumn("tile", number.cast("int")).withColumn("side", F.when(low == high, 0).otherwise(F.when(F.col("own") == low, 1).otherwise(2)))
-    rows = rows.select("k", "prefix", "tile", "rest", "e", "n", "depth", "side")
+        divided = marked.withColumn("tile", number.cast("int")).withColumn("side", F.when(low == high, 0).otherwise(F.when(F.col("own") == low, 1).otherwise(2)))
+    columns = ("k", "prefix", "tile", "rest", "e", "n", "depth", "side")
+    rows = whole(first).select(*columns).unionByName(divided.select(*columns))
     ordered = rows.repartitionByRange(parts, "k", "prefix", "tile").sortWithinPartitions("k", "prefix", "tile", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,8 +415,8 @@ def similar_sets(rows: DataFrame, element: str, value: str, threshold: float = 0
 
     found = sketches(sets, trees)
     depths = _sampled_depths(found, sets, threshold, min_size, trees)
-    forest = written(_forest(found, depths, threshold, min_size, trees), "forest")
-    pairs = written(_neighbours(forest, threshold), "candidates")
+    first, second = (_forest(found, depths, threshold, min_size, trees, one) for one in (False, True))
+    pairs = written(_neighbours(first, written(second, "second-forest"), threshold), "candidates")
 
     # exact check: the values of the smaller set, looked up in the larger one
     sized = lambda x: broadcast_if_small(singles, n_singles).select(F.col("e").alias(x), F.col("n").alias(f"n{x}"))
