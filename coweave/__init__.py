@@ -2,7 +2,7 @@
 
 from . import metrics
 from .estimator import SLIM, NotFittedError
-from .functions.shared import release, ship
+from .functions.shared import release, scope, ship
 from .operators.fit import ConvergenceWarning, fit, fit_with_diagnostics
 from .operators.score import predict, recommend
 
@@ -19,5 +19,6 @@ __all__ = [
     "predict",
     "recommend",
     "release",
+    "scope",
     "ship",
 ]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     written keep their numbers.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/coweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = "/".join([_own_folder(spark), *_open_scopes, f"{name}-{uuid.uuid4().hex[:12]}"])
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -40,10 +42,33 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/coweave/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables this application has written; frames that read them cannot be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/coweave/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at the end; write or collect results before. Scopes may be nested.
+
+    Results of operators are frames over such tables, so they cannot delete these themselves.
+    """
+    _open_scopes.append(f"scope-{uuid.uuid4().hex[:12]}")
+    folder = "/".join([_own_folder(spark), *_open_scopes])
+    try:
+        yield
+    finally:
+        _open_scopes.pop()
+        _delete(spark, folder)
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,3 +86,4 @@ def ship(spark: SparkSession) -> None:
 
 
 _shipped: dict[str, str] = {}
+_open_scopes: list[str] = []

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..operators.interactions import as_interactions, binarise
 
 
+#: Largest number of rows or items of a matrix in arrays.
+MOST_INDEX = 2**31 - 1
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder of tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -31,8 +35,13 @@ def from_coo(spark: SparkSession, users: Sequence[int], items: Sequence[int], va
 
 
 def from_csr(spark: SparkSession, data: Sequence[float], indices: Sequence[int], indptr: Sequence[int], n_items: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(interactions, users, items) from compressed rows; checks lengths, order of ``indptr`` and range of ``indices``."""
+    """(interactions, users, items) from compressed rows; checks sizes, lengths, order of ``indptr`` and range of ``indices``.
+
+    The driver holds the arrays, so rows and items are limited to what a 32-bit index can count; larger matrices come as tables.
+    """
     data, indices, indptr = np.asarray(data, np.float64), np.asarray(indices), np.asarray(indptr)
+    if not 0 <= n_items <= MOST_INDEX or len(indptr) - 1 > MOST_INDEX:
+        raise ValueError(f"a matrix of {len(indptr) - 1} rows and {n_items} items is outside the sizes 0 to {MOST_INDEX}")
     if not len(indptr) or indptr[0] != 0:
         raise ValueError("indptr must start with 0")
     if (np.diff(indptr) < 0).any():

@@ -142,6 +142,9 @@ def test_sources(spark, tmp_path, rows):
     for data, indices, indptr in (([1], [0], [1, 1]), ([1], [5], [0, 1]), ([1], [0], [0, 2]), ([1, 1], [0, 0], [0, 2, 1])):
         with pytest.raises(ValueError, match="indptr|indices"):
             from_csr(spark, data, indices, indptr, 2)
+    for n_items in (-1, 2**31):
+        with pytest.raises(ValueError, match="outside the sizes"):
+            from_csr(spark, [], [], [0], n_items)
     with pytest.raises(ValueError, match="2-D"):
         from_dense(spark, [1, 2])
     path = str(tmp_path / "x")

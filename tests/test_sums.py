@@ -64,3 +64,19 @@ def test_one_machine_gets_a_folder_of_its_own():
     for master in ("local", "local[4]", "local[*]"):
         s = Session(master)
         assert shared_folder(s).startswith("file://") and s.settings["spark.checkpoint.dir"] == shared_folder(s)
+
+
+def test_tables_of_a_scope_are_deleted_at_its_end(spark):
+    from pathlib import Path
+
+    from coweave.functions.shared import scope, written
+
+    outside = written(spark.range(3), "kept")
+    with scope(spark):
+        inside = written(spark.range(5), "dropped")
+        with scope(spark):
+            inner = written(spark.range(7), "inner").inputFiles()
+        assert inside.count() == 5 and inner and not any(Path(f.removeprefix("file://")).exists() for f in inner)
+        files = inside.inputFiles()
+    assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)
+    assert outside.count() == 3
