@@ -22,7 +22,8 @@ from ..functions.joins import BROADCAST_ROWS, broadcast_if_small, spread_join
 from ..functions.shared import written
 from ..operators.copairs import MAX_GROUP, pair_products
 
-#: Sizes up to EXACT_SIZES are classes of their own, larger ones fall into classes 1 % wide: a few thousand at any scale.
+#: For the fit, sizes up to EXACT_SIZES are classes of their own, larger ones fall into classes 1 % wide: a few thousand at any scale.
+#: Items get the factor of their exact size afterwards.
 EXACT_SIZES = 256
 CLASS_WIDTH = 0.01
 #: p-values are ranked in steps of 1/50 of their natural logarithm, rounded up: q-values are at most 2 % too large.
@@ -40,21 +41,51 @@ def size_class(n: Column) -> Column:
     return F.when(n <= EXACT_SIZES, n).otherwise(above).cast("int")
 
 
-def _classes(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, members, mean size) of the classes that occur; a few thousand rows however many members there are."""
+def _classes(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(members, mean size) of the classes that occur; a few thousand rows however many members there are."""
     rows = sizes.groupBy(size_class(F.col("n")).alias("c")).agg(F.count(F.lit(1)).alias("m"), F.avg("n").alias("d")).orderBy("c").collect()
-    return np.array([r.c for r in rows], dtype=np.int64), np.array([r.m for r in rows], dtype=np.float64), np.array([r.d for r in rows], dtype=np.float64)
+    return np.array([r.m for r in rows], dtype=np.float64), np.array([r.d for r in rows], dtype=np.float64)
 
 
-def fit_null(group_members: np.ndarray, group_size: np.ndarray, item_members: np.ndarray, item_size: np.ndarray, rounds: int = 2000, tol: float = 1e-7) -> tuple[np.ndarray, bool]:
-    """Probabilities (group classes x item classes) whose row and column sums match the mean sizes, and whether they do to ``tol``.
+@dataclass(frozen=True)
+class Null:
+    """The fitted null model: the logarithm ``u`` of the factor of each class of groups, their ``members``, and whether the fit has ``met`` all sizes."""
+
+    u: np.ndarray
+    members: np.ndarray
+    met: bool
+
+    def chances(self, sizes: np.ndarray) -> np.ndarray:
+        """(item sizes x group classes): with which probability an item of exactly this size is in a group of the class.
+
+        The item's own factor is the one root at which its probabilities add up to its size, found by Newton steps that stay
+        inside a shrinking bracket.
+        """
+        if not len(self.u) or not len(sizes):
+            return np.zeros((len(sizes), len(self.u)))
+        goal = np.minimum(sizes.astype(np.float64), self.members.sum() * (1 - 1e-9))
+        low, high = np.full(len(goal), -np.max(self.u) - 50.0), np.full(len(goal), -np.min(self.u) + 50.0)
+        v = np.clip(np.log(goal) - np.log((np.exp(self.u) * self.members).sum()), low, high)
+        for _ in range(200):
+            p = 1.0 / (1.0 + np.exp(-(v[:, None] + self.u[None, :])))
+            over = p @ self.members - goal
+            low, high = np.where(over < 0, v, low), np.where(over > 0, v, high)
+            if (np.abs(over) <= 1e-11 * goal).all():
+                break
+            following = v - over / np.maximum((p * (1 - p)) @ self.members, 1e-300)
+            v = np.where((following > low) & (following < high), following, (low + high) / 2)
+        return p
+
+
+def fit_null(group_members: np.ndarray, group_size: np.ndarray, item_members: np.ndarray, item_size: np.ndarray, rounds: int = 2000, tol: float = 1e-7) -> Null:
+    """The factors at which expected row and column sums are the mean sizes of classes of groups and items.
 
     Alternates Newton steps on log x and log y; the likelihood is concave in them. A class whose members hold
     everything gets probability 1 in the limit.
     """
     total = float((group_members * group_size).sum())
     if not total:
-        return np.zeros((len(group_size), len(item_size))), True
+        return Null(np.empty(0), group_members, True)
     n_items, n_groups = item_members.sum(), group_members.sum()
     u = np.log(np.clip(group_size, 1e-12, None) / np.sqrt(total))
     v = np.log(np.clip(item_size, 1e-12, None) / np.sqrt(total))
@@ -63,17 +94,15 @@ def fit_null(group_members: np.ndarray, group_size: np.ndarray, item_members: np
     def table() -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(u[:, None] + v[None, :], -60, 60)))
 
-    met = False
     for _ in range(rounds):
         p = table()
         u += np.clip((target_u - p @ item_members) / np.maximum((p * (1 - p)) @ item_members, 1e-12), -1, 1)
         p = table()
         v += np.clip((target_v - group_members @ p) / np.maximum(group_members @ (p * (1 - p)), 1e-12), -1, 1)
         p = table()
-        met = bool(np.abs(p @ item_members / target_u - 1).max() < tol and np.abs(group_members @ p / target_v - 1).max() < tol)
-        if met:
-            break
-    return table(), met
+        if np.abs(p @ item_members / target_u - 1).max() < tol and np.abs(group_members @ p / target_v - 1).max() < tol:
+            return Null(u, group_members, True)
+    return Null(u, group_members, False)
 
 
 def log_tail(members: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -168,11 +197,11 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
     base = written(base.distinct(), "memberships")
     items = written(base.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "item-sizes")
     groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    group_class, group_members, group_size = _classes(groups)
-    item_class, item_members, item_size = _classes(items)
+    group_members, group_size = _classes(groups)
+    item_members, item_size = _classes(items)
     n_groups, n_items = int(group_members.sum()), int(item_members.sum())
-    chance, fitted = fit_null(group_members, group_size, item_members, item_size)
-    if not fitted:
+    null = fit_null(group_members, group_size, item_members, item_size)
+    if not null.met:
         warnings.warn("the null model does not keep all sizes: expected counts and p-values are approximate", RuntimeWarning, stacklevel=2)
 
     fits = (F.col("n") >= min_count) & (F.col("n") * F.lit(float(min_lift)) <= F.lit(float(n_groups)))
@@ -190,29 +219,30 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
     counts = counts.join(sized("a"), "a").join(sized("b"), "b")
     counts = counts.where(F.col("n_ab") * F.lit(float(n_groups)) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
     counts = written(counts.select("a", "b", "n_ab", "n_a", "n_b"), "pair-counts")
-    ca, cb = size_class(F.col("n_a")), size_class(F.col("n_b"))
-    counts = counts.withColumn("c1", F.least(ca, cb)).withColumn("c2", F.greatest(ca, cb))
-    case = ["c1", "c2", "n_ab"]  # pairs of one case have the same tail, which is computed once
+    counts = counts.withColumn("low", F.least("n_a", "n_b")).withColumn("high", F.greatest("n_a", "n_b"))
+    case = ["low", "high", "n_ab"]  # pairs of one case have the same tail, which is computed once
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cases = counts.groupBy(*case).agg(F.count(F.lit(1)).alias("m"))
     # equal shares of cases to tasks, those of like counts together: they need windows of like size
-    cases = cases.repartition(4 * parts, *case).sortWithinPartitions("n_ab", "c1", "c2")
-    shared = base.sparkSession.sparkContext.broadcast((item_class, group_members, np.ascontiguousarray(chance.T)))  # a few thousand classes squared
+    cases = cases.repartition(4 * parts, *case).sortWithinPartitions("n_ab", "low", "high")
+    shared = base.sparkSession.sparkContext.broadcast(null)  # a few thousand classes
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, members, p = shared.value
+        known = shared.value
         for batch in batches:
-            c1, c2, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in case)
+            low, high, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in case)
             logs, means = np.empty(len(n)), np.empty(len(n))
             for lo in range(0, len(n), 1024):
                 one = slice(lo, lo + 1024)
-                q = p[np.searchsorted(classes, c1[one])] * p[np.searchsorted(classes, c2[one])]
-                means[one] = q @ members
-                logs[one] = log_tail(members, q, n[one])
+                sizes, at = np.unique(np.concatenate([low[one], high[one]]), return_inverse=True)
+                p, m = known.chances(sizes), len(low[one])
+                q = p[at[:m]] * p[at[m:]]
+                means[one] = q @ known.members
+                logs[one] = log_tail(known.members, q, n[one])
             cols = [batch.column(c) for c in (*case, "m")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(means), pa.array(logs)], names=[*case, "m", "expected", "log_p"])
 
-    tested = written(cases.mapInArrow(tails, "c1 int, c2 int, n_ab bigint, m bigint, expected double, log_p double"), "surprise")
+    tested = written(cases.mapInArrow(tails, "low bigint, high bigint, n_ab bigint, m bigint, expected double, log_p double"), "surprise")
     n_cases = tested.count()
     step = F.floor(-F.greatest(F.col("log_p"), F.lit(LEAST_LOG_P)) * P_STEPS).cast("int")
     # at most 37,251 steps, whatever the number of pairs
@@ -232,5 +262,5 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
         pairs.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_ab", "n_a", "n_b", lift.alias("lift"), "expected", "log_p", "q_value"),
         n_groups,
         n_items,
-        fitted,
+        null.met,
     )
