@@ -99,6 +99,8 @@ from interactions where {_COUNTING} group by item_id""",
     "top_k_scores": f"with {_x('brand')}, {_SPLIT}, {_g('train')}, {_scores('train', '50')} select \"user\", row_number() over (partition by \"user\" order by score desc, item) - 1 as rank, item, score from s where not exists (select 1 from train where train.\"user\" = s.\"user\" and train.item = s.item) qualify rank < 3",
     "explain": f'with {_x("brand")}, {_SPLIT}, {_g("train")}, {_scores("train", "50")} select h."user", target as item, source, value * weight as part from train h join w on h.item = source where not exists (select 1 from train where train."user" = h."user" and train.item = target)',
     "source_ratings": "select user_id as \"user\", event_id as item, 1.0::double as value from events where value > 0",
+    "source_synthetic": """select id // 20 as "user", ((id + 42) % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647) % 2000 as item, count(*)::double as value
+from range((select count(*) * 20 from customer)) t(id) group by 1, 2""",
     "recommend_topk": f'with {_x("supplier")}, {_g()}, {_scores("x", "40")}, {_ranking("x", 5, False)} select "user", rank, item, score from ranked',
     "recommend_fill": f'with {_x("brand")}, {_SPLIT}, {_g("train")}, {_scores("train", "50")}, {_ranking("train", 10, True)} select "user", rank, item, score from ranked',
     "recommend_with_seen": f'with x as (select user_id as "user", event_type as item, count(*)::double as value from events group by 1, 2), {_g()}, {_scores("x", "1")}, {_ranking("x", 3, True)} select "user", rank, item, score from ranked',

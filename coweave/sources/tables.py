@@ -64,9 +64,9 @@ def from_dense(spark: SparkSession, matrix: Sequence[Sequence[float]]) -> tuple[
 
 
 def synthetic(spark: SparkSession, n_users: int = 20_000, n_items: int = 2_000, draws: int = 20, seed: int = 42) -> DataFrame:
-    """Each user draws items with repetition; all values 1.0. Drawn by hash, so the same everywhere."""
-    draw = spark.range(n_users * draws).select(F.col("id"), F.expr(f"id div {draws}").alias("user"))
-    return draw.select("user", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_items)).alias("item"), F.lit(1.0).alias("value"))
+    """Each user draws items with repetition; all values 1.0. Two multiplicative steps modulo 2**31 - 1 take the place of a random number, so any engine draws alike."""
+    draw = spark.range(n_users * draws).select(F.expr(f"id div {draws}").alias("user"), F.expr(f"(id + {seed}) % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647").alias("number"))
+    return draw.select("user", (F.col("number") % n_items).alias("item"), F.lit(1.0).alias("value"))
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
