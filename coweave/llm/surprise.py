@@ -29,6 +29,8 @@ CLASS_WIDTH = 0.01
 #: p-values are ranked in steps of 1/50 of their natural logarithm, rounded up: q-values are at most 2 % too large.
 P_STEPS = 50
 LEAST_LOG_P = -745.0
+#: Pairs that are worth a task of their own.
+TASK_PAIRS = 250
 #: Cells of windows that are transformed at once.
 WINDOW_CELLS = 1 << 18
 #: Coin flips below this probability enter a characteristic function by power sums, as many as leave an error below 1e-12.
@@ -223,8 +225,9 @@ def cooccurrence(rows: DataFrame, group: str, item: str, *, min_count: int = 1,
     case = ["low", "high", "n_ab"]  # pairs of one case have the same tail, which is computed once
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cases = counts.groupBy(*case).agg(F.count(F.lit(1)).alias("m"))
-    # equal shares of cases to tasks, those of like counts together: they need windows of like size
-    cases = cases.repartition(4 * parts, *case).sortWithinPartitions("n_ab", "low", "high")
+    # equal shares of cases to tasks, those of like counts together: they need windows of like size; a task has some hundred cases at least
+    tasks = max(1, min(4 * parts, -(-counts.count() // TASK_PAIRS)))
+    cases = cases.repartition(tasks, *case).sortWithinPartitions("n_ab", "low", "high")
     shared = base.sparkSession.sparkContext.broadcast(null)  # a few thousand classes
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
