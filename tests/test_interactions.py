@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from coweave.operators.gram import candidates, diagonal, gram, gram_row, off_diagonal, refuse_overflow
 from coweave.operators.interactions import as_interactions, binarise, canonical, check_values, holdout_split, item_universe, settled, transpose, user_universe
-from coweave.sources.tables import from_coo, from_csr, from_dense, markdown, read_interactions, synthetic, write_result
+from coweave.sources.tables import from_csr, from_dense, markdown, read_interactions, synthetic, write_result
 
 from .matrices import TINY
 
