@@ -8,7 +8,6 @@ pool that is dealt out again and packed anew, until the total meets the bound of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 

@@ -23,3 +23,25 @@ def test_threshold_too_low_for_the_trees_is_refused(spark):
     for threshold, trees in ((0.15, 40), (0.3, 5)):
         with pytest.raises(ValueError, match="too low"):
             similar_sets(df, "e", "v", threshold, trees=trees)
+
+
+def test_partners_that_just_reach_the_threshold_are_found_at_any_share_of_popular_values(spark):
+    rng = np.random.default_rng(3)
+    popular, sets, pairs, fresh, e = np.arange(1, 61), {}, [], iter(range(10**4, 10**7)), 0
+    new = lambda n: [next(fresh) for _ in range(n)]
+    for share in (0.0, 0.5, 0.9):
+        for size in (5, 12, 40):
+            for _ in range(30):
+                held = int(round(size * share))
+                one = rng.choice(popular, held, replace=False).tolist() + new(size - held)
+                common = -(-2 * size * 6 // 16)  # shared values of two sets of this size at similarity 0.6
+                sets[e], sets[e + 1] = one, one[:common] + new(size - common)  # popular values are shared first
+                pairs.append((e, e + 1))
+                e += 2
+    for _ in range(400):
+        sets[e] = rng.choice(popular, 20, replace=False).tolist() + new(30)
+        e += 1
+    df = spark.createDataFrame([(k, int(v)) for k, s in sets.items() for v in s], "e bigint, v bigint")
+    found = similar_sets(df, "e", "v", 0.6, min_size=5, hub=40)
+    linked = {(r.a, r.b) for r in found.pairs().collect()}
+    assert len(set(pairs) - linked) <= 1
