@@ -19,7 +19,7 @@ from ..functions.shared import written
 from ..functions.sums import exact_sum, limbs, numbered, ordered_sum, running_offsets
 from ..params import SolverParams
 from . import kernel
-from .gram import candidates, gram, refuse_overflow
+from .gram import candidates, gram, mirrored, refuse_overflow, upper_half
 from .interactions import as_interactions, item_universe, settled
 
 #: Most cells that are sent to every worker as one matrix (about 100 MB). Larger inputs are solved block by block.
@@ -132,7 +132,7 @@ def _strongest(rows: DataFrame, by: str, most: int) -> DataFrame:
     return some.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(*best))).where(F.col("_r") <= most).drop("_r")
 
 
-def _solve_within(active: DataFrame, entries: DataFrame, p: SolverParams, block_cells: int) -> DataFrame:
+def _solve_within(active: DataFrame, half: DataFrame, p: SolverParams, block_cells: int) -> DataFrame:
     """Solutions of the targets in ``active`` (item, neighbor, p) over these candidates alone.
 
     Targets are laid into blocks by a running sum of their cells, so a block holds at most ``block_cells`` cells of the Gram matrix
@@ -144,9 +144,9 @@ def _solve_within(active: DataFrame, entries: DataFrame, p: SolverParams, block_
     wanted = written(active.join(blocks, "item"), "wanted")
     one, two = wanted.select("block", "item", F.col("neighbor").alias("k")), wanted.select("item", F.col("neighbor").alias("j"))
     cells = one.join(two, "item").where(F.col("k") <= F.col("j")).select("block", "k", "j").distinct()
-    half = entries.where(F.col("item") <= F.col("neighbor")).select(F.col("item").alias("k"), F.col("neighbor").alias("j"), F.col("p").alias("q"))
+    stored = half.select(F.col("item").alias("k"), F.col("neighbor").alias("j"), F.col("p").alias("q"))
     # renamed: both sides of the cogroup stem from one frame
-    cells = cells.join(half, ["k", "j"]).select(F.col("block").alias("of"), "k", "j", "q")
+    cells = cells.join(stored, ["k", "j"]).select(F.col("block").alias("of"), "k", "j", "q")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         k, j, q = (right.column(c).to_numpy() for c in ("k", "j", "q"))
@@ -204,16 +204,18 @@ def _solve_blocks(x: DataFrame, universe: DataFrame, p: SolverParams, integral:
     its positive weights and the ``wide`` candidates that most want to enter, until none does: the optimum is the same, and
     no task ever holds all candidates squared. A task holds the square of a target's positive weights, though.
     """
-    entries = written(gram(x, integral), "gram")
-    cand = candidates(entries, p.lambd)
+    half = written(upper_half(x, integral), "gram")
+    entries = mirrored(half)
+    # the filter comes before the mirror; candidates are few beside all entries
+    cand = written(candidates(mirrored(half.where((F.col("p") >= p.lambd) & (F.col("item") != F.col("neighbor")))), p.lambd), "candidate-entries")
     sizes = written(cand.groupBy("item").agg(F.count(F.lit(1)).alias("m")), "candidates")
     large = sizes.where(F.col("m") > wide).select("item")
     n_large = large.count()
     narrow = cand if not n_large else cand.join(large, "item", "left_anti")
-    solved = written(_solve_within(narrow, entries, p, block_cells), "solved")
+    solved = written(_solve_within(narrow, half, p, block_cells), "solved")
     if n_large:
         broad = written(cand.join(large, "item", "left_semi"), "wide")
-        found = written(_solve_within(_strongest(broad, "p", wide), entries, p, block_cells), "wide-solved")
+        found = written(_solve_within(_strongest(broad, "p", wide), half, p, block_cells), "wide-solved")
         for no in count():
             entering = written(_entering(found, broad, entries, p), "entering")
             if not p.max_iter or entering.isEmpty():
@@ -226,7 +228,7 @@ def _solve_blocks(x: DataFrame, universe: DataFrame, p: SolverParams, integral:
             z = found.select(F.col("target").alias("item"), F.explode("sources").alias("neighbor")).join(again, "item", "left_semi")
             held = broad.join(z, ["item", "neighbor"], "left_semi").select("item", "neighbor", "p")
             more = _strongest(entering, "step", wide).select("item", "neighbor", "p")
-            renewed = _solve_within(held.unionByName(more), entries, p, block_cells)
+            renewed = _solve_within(held.unionByName(more), half, p, block_cells)
             rest = found.join(again.withColumnRenamed("item", "target"), "target", "left_anti")
             found = written(rest.unionByName(renewed), "wide-solved")
         solved = solved.unionByName(found)

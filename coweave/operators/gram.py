@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from .copairs import MAX_GROUP, pair_products
 
 
-def gram(x: DataFrame, integral: bool = True, max_group: int = MAX_GROUP) -> DataFrame:
-    """(item, neighbor, p) with the diagonal as rows where both are equal. Symmetric; zeros are not stored.
+def upper_half(x: DataFrame, integral: bool = True, max_group: int = MAX_GROUP) -> DataFrame:
+    """(item, neighbor, p) of the Gram matrix where item <= neighbor; zeros are not stored.
 
-    ``x`` is canonical (user, item, value) with bigint ids. The upper half is added up once and mirrored. Users of
-    more than ``max_group`` items take the tiled way of `pair_products`, so no task emits all pairs of a large user.
+    ``x`` is canonical (user, item, value) with bigint ids. Users of more than ``max_group`` items take the tiled way of
+    `pair_products`, so no task emits all pairs of a large user.
     """
-    upper = pair_products(x, "user", "item", "value", diagonal=True, integral=integral, max_group=max_group).where(F.col("s") != 0)
-    mirrored = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    return upper.select(F.explode(mirrored).alias("ab"), "s").select(F.col("ab.a").alias("item"), F.col("ab.b").alias("neighbor"), F.col("s").alias("p"))
+    pairs = pair_products(x, "user", "item", "value", diagonal=True, integral=integral, max_group=max_group)
+    return pairs.where(F.col("s") != 0).select(F.col("a").alias("item"), F.col("b").alias("neighbor"), F.col("s").alias("p"))
+
+
+def mirrored(half: DataFrame) -> DataFrame:
+    """The whole matrix of its upper half."""
+    there, back = F.struct("item", "neighbor"), F.struct(F.col("neighbor").alias("item"), F.col("item").alias("neighbor"))
+    both = F.when(F.col("item") == F.col("neighbor"), F.array(there)).otherwise(F.array(there, back))
+    return half.select(F.explode(both).alias("at"), "p").select("at.item", "at.neighbor", "p")
+
+
+def gram(x: DataFrame, integral: bool = True, max_group: int = MAX_GROUP) -> DataFrame:
+    """(item, neighbor, p) with the diagonal as rows where both are equal. Symmetric; zeros are not stored. See `upper_half`."""
+    return mirrored(upper_half(x, integral, max_group))
 
 
 def diagonal(p: DataFrame) -> DataFrame:
